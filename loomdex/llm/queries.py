@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from loomdex.llm.boilerplate import Boilerplate
 from loomdex.llm.encoding import decode, encode, encode_with_offsets
+from loomdex.llm import languages, mojibake, scans
 from loomdex.llm.leakage import leaks
 from loomdex.llm.near_duplicates import NearDuplicates
+from loomdex.llm.similar_vectors import SimilarVectors, usable
 from loomdex.llm.splitting import split_oversized
 from loomdex.sources.tables import children, table
 
@@ -71,7 +73,70 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).where("n_windows > 0").groupBy("case_id", "field").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_windows").alias("most_windows"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_cleaned, p6_found, p6_groups, p8_ids, p8_round_trip, p9_found, p9_report)}
+def _vectors(spark: SparkSession, sf: str) -> SimilarVectors:
+    return SimilarVectors(usable(table(spark, sf, "chunk_vectors")))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _vectors(spark, sf).pairs(0.9).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+
+
+def p2_top10(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 50, against all vectors."""
+    return _vectors(spark, sf).top(10)
+
+
+def _scanned(spark: SparkSession, sf: str) -> DataFrame:
+    chunks, segments = table(spark, sf, "chunks"), table(spark, sf, "segments")
+    texts = chunks.where(~F.col("is_parent")).select(F.col("content").alias("text")).unionByName(segments.select("text"))
+    return scans.repaired(scans.scanned_records(chunks, segments), scans.lexicon(texts))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _scanned(spark, sf).select("tab", "rec_key").distinct()
+
+
+def p5_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return _scanned(spark, sf).dropDuplicates(["tab", "rec_key"])
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = F.col("chunk_type").isin("text", "figure_caption")
+    return table(spark, sf, "chunks").where(~F.col("is_parent") & wanted).select(F.col("chunk_id").alias("id"), F.col("content").alias("text"), F.col("language").alias("label"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    texts = _labelled(spark, sf)
+    return languages.corrections(texts, languages.fit(texts)).select(F.col("id").alias("chunk_id"), "lang")
+
+
+def p7_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stretch of one language of every text."""
+    texts = _labelled(spark, sf)
+    found = languages.detect(texts, languages.fit(texts)).dropDuplicates(["id"])
+    return found.select(F.col("id").alias("chunk_id"), F.posexplode("segments").alias("segment_no", "s")).select("chunk_id", "segment_no", "s.start", "s.end", "s.lang", "s.confidence")
+
+
+def _garbled(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    return mojibake.repaired(documents, mojibake.train(documents))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _garbled(spark, sf).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return _garbled(spark, sf)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_pieces, p2_found, p2_top10, p4_found, p4_cleaned, p5_found, p5_repaired, p6_found, p6_groups,
+        p7_found, p7_segments, p8_ids, p8_round_trip, p9_found, p9_report, p10_found, p10_restored,
+    )
+}
 
 _TOKENS = "(length(regexp_replace({0}, '[^\\x{{4e00}}-\\x{{9fff}}]+', '', 'g')) + (length({0}) - length(regexp_replace({0}, '[^\\x{{4e00}}-\\x{{9fff}}]+', '', 'g'))) // 4)"
 
