@@ -35,3 +35,43 @@ def source_of(path: Column) -> Column:
     """The directory just below ``corpus``, with either slash; null where the path has none."""
     found = F.regexp_extract(path, "(?:^|[/\\\\])corpus[/\\\\]([^/\\\\]+)[/\\\\]", 1)
     return F.nullif(found, F.lit(""))
+
+
+def truncate(text: Column, most: int) -> Column:
+    """The text where it has at most ``most`` tokens, else its first floor(3.6 * most) characters."""
+    return F.when(token_count(text) <= most, text).otherwise(F.substring(text, 1, int(most * 3.6)))
+
+
+def first_words(text: Column, n: int) -> Column:
+    """The first n words between white space, joined by blanks; a text with no more words as it is."""
+    ws = F.filter(F.split(text, "(?U)\\s+"), lambda w: w != "")
+    return F.when(F.size(ws) <= n, text).otherwise(F.array_join(F.slice(ws, 1, n), " "))
+
+
+def words(text: Column) -> Column:
+    """array<string>: each Han character or kana, and each other run of letters and digits, in lower case."""
+    east = "\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{3040}-\\x{30ff}"
+    return F.regexp_extract_all(F.lower(text), F.lit(f"[{east}]|[\\p{{L}}\\p{{N}}&&[^{east}]]+"), F.lit(0))
+
+
+def english_tokens(query: Column) -> Column:
+    """Distinct tokens of ASCII letters, digits and ``_ - .``, of two characters and more, in lower case and order."""
+    found = F.regexp_extract_all(query, F.lit("[A-Za-z0-9][A-Za-z0-9_\\-.]*"), F.lit(0))
+    return F.array_distinct(F.transform(F.filter(found, lambda t: F.length(t) >= 2), lambda t: F.lower(t)))
+
+
+def cache_key(query: Column) -> Column:
+    """White space to single blanks, lower case, outer punctuation off."""
+    folded = F.lower(F.regexp_replace(F.regexp_replace(query, "(?U)^\\s+|\\s+$", ""), "(?U)\\s+", " "))
+    return F.regexp_replace(folded, "^[?？!！。，,、;；:：.·\\-_ ]+|[?？!！。，,、;；:：.·\\-_ ]+$", "")
+
+
+def tier(pages: Column) -> Column:
+    """struct<name, size, overlap, parent> by page count."""
+    from loomdex.config import TIERS
+
+    out = None
+    for name, most, size, overlap, parent in TIERS:
+        s = F.struct(F.lit(name).alias("name"), F.lit(size).alias("size"), F.lit(overlap).alias("overlap"), F.lit(parent).alias("parent"))
+        out = F.when(pages <= most, s) if out is None else out.when(pages <= most, s)
+    return out
