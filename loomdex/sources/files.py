@@ -59,10 +59,14 @@ def hashed(files: DataFrame) -> DataFrame:
 
 
 def decode(raw: bytes) -> str:
-    """UTF-8, by byte order mark UTF-16, else the first of a few codecs that takes all bytes, else UTF-8 with U+FFFD."""
+    """By byte order mark UTF-16, else UTF-8, else the first codec that takes all bytes - double-byte ones only where most bytes beyond ASCII stand
+    next to each other -, else UTF-8 with U+FFFD."""
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return raw.decode("utf-16", "replace")
-    for codec in ("utf-8-sig", "gb18030", "cp932", "cp1252"):
+    high = [b > 0x7F for b in raw]
+    beside = sum(h and (high[i - 1] and i > 0 or i + 1 < len(high) and high[i + 1]) for i, h in enumerate(high))
+    east = ("gb18030", "cp932") if 2 * beside > sum(high) else ()
+    for codec in ("utf-8-sig", *east, "cp1252"):
         try:
             return raw.decode(codec)
         except UnicodeDecodeError:
