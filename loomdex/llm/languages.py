@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COLUMNS, SKETCH, CENTROIDS = 8192, 64, 3
+MOST_REACH = 0.2
 
 # Spellings of the languages' names and codes.
 NAMES = {
@@ -182,7 +183,8 @@ def fit(texts: DataFrame, per_label: int = 150, units_per_label: int = 600, seed
         centroids.append(m)
         languages += [LANGUAGES[c]] * len(m)
         reach.append(np.quantile((x @ m.T).max(1), 0.005))
-    return Model(np.concatenate(centroids), languages, idf, 0.8 * float(min(reach)))
+    # a sample that is too uniform must not make the model reject what is new to it
+    return Model(np.concatenate(centroids), languages, idf, min(MOST_REACH, 0.8 * float(min(reach))))
 
 
 _SEGMENT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())])

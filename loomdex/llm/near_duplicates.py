@@ -82,29 +82,39 @@ def least_matches(threshold: float, tolerance: float, steps: range) -> dict[int,
 def _survivors(threshold: float, tolerance: float):
     need = least_matches(threshold, tolerance, range(ROWS, HASHES + 1, ROWS))
 
+    def kept(ids: list[str], sigs: list[bytes], pairs: list[np.ndarray]) -> pd.DataFrame:
+        """Of the pairs of positions those that pass, compared ROWS values at a time, all together."""
+        a, b = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+        sig = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(ids), HASHES)
+        seen = np.zeros(len(a), dtype=np.int16)
+        for n in range(ROWS, HASHES + 1, ROWS):
+            seen += (sig[a, n - ROWS : n] == sig[b, n - ROWS : n]).sum(1, dtype=np.int16)
+            keep = seen >= need[n]
+            if not keep.all():
+                a, b, seen = a[keep], b[keep], seen[keep]
+        found = [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        return pd.DataFrame({"a": pd.Series([f[0] for f in found], dtype=str), "b": pd.Series([f[1] for f in found], dtype=str)})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            left, right = [], []
+            ids, sigs, pairs, waiting = [], [], [], 0
             for own, other, members in zip(frame["i"], frame["j"], frame["members"], strict=True):
-                ids = [m["id"] for m in members]
-                blocks = np.array([m["block"] for m in members])
-                sig = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint8).reshape(len(ids), HASHES)
-                a, b = np.triu_indices(len(ids), 1)
-                if own != other:
-                    keep = blocks[a] != blocks[b]
-                    a, b = a[keep], b[keep]
-                seen = np.zeros(len(a), dtype=np.int16)
-                for n in range(ROWS, HASHES + 1, ROWS):
-                    seen += (sig[a, n - ROWS : n] == sig[b, n - ROWS : n]).sum(1, dtype=np.int16)
-                    keep = seen >= need[n]
-                    if not keep.all():
-                        a, b, seen = a[keep], b[keep], seen[keep]
-                    if not len(a):
-                        break
-                for x, y in zip(a, b, strict=True):
-                    left.append(min(ids[x], ids[y]))
-                    right.append(max(ids[x], ids[y]))
-            yield pd.DataFrame({"a": pd.Series(left, dtype=str), "b": pd.Series(right, dtype=str)})
+                at = len(ids)
+                ids += [m["id"] for m in members]
+                sigs += [m["sig"] for m in members]
+                if len(members) == 2:
+                    pairs.append(np.array([[at], [at + 1]]))
+                else:
+                    two = np.stack(np.triu_indices(len(members), 1))
+                    if own != other:
+                        blocks = np.array([m["block"] for m in members])
+                        two = two[:, blocks[two[0]] != blocks[two[1]]]
+                    pairs.append(two + at)
+                waiting += pairs[-1].shape[1]
+                if waiting > 500_000:
+                    yield kept(ids, sigs, pairs)
+                    ids, sigs, pairs, waiting = [], [], [], 0
+            yield kept(ids, sigs, pairs)
 
     return run
 

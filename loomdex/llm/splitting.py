@@ -64,7 +64,8 @@ def split_oversized(
         df = df.dropDuplicates(["chunk_id"])
     kept = [c for c in df.columns if c not in {"content", "token_estimate", "piece_no", "n_pieces", "start", "piece_id"}]
     text, parent = F.col("content"), F.coalesce(F.col("is_parent"), F.lit(False))
-    df = _pin(df.where(text.isNotNull()).select(*kept, "content"), "__big", over_limit(text, F.when(parent, parent_limit).otherwise(child_limit)))
+    # all other columns travel in one struct, where no name of theirs can clash
+    df = _pin(df.where(text.isNotNull()).select(F.struct(*kept).alias("row"), "chunk_id", "is_parent", "content"), "__big", over_limit(text, F.when(parent, parent_limit).otherwise(child_limit)))
     big = F.col("__big")
     df = _pin(df, "__runs", F.when(big & parent, _runs(text, parent_limit, parent_overlap, least)).when(big, _runs(text, child_limit, child_overlap, least)).otherwise(F.array(text)))
     df = _pin(df, "__sizes", F.when(F.size("__runs") == 1, F.array(F.length("content"))).otherwise(F.transform("__runs", lambda r: F.length(r) - 3 * cjk_count(r))))
@@ -77,7 +78,7 @@ def split_oversized(
     n = F.length("__before") - 3 * cjk_count(F.col("__before"))
     df = _pin(df, "__piece", F.when(F.size("__sizes") == 1, text).otherwise(F.substring(text, start - n + 1, n + F.col("__size"))))
     return df.select(
-        *kept,
+        *[F.col("row").getField(c).alias(c) for c in kept],
         F.size("__sizes").alias("n_pieces"),
         "piece_no",
         start.alias("start"),
