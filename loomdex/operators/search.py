@@ -56,16 +56,16 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, dim: int =
 
         def scan(batches: Iterator[pa.RecordBatch], q: np.ndarray = q, names: list = names) -> Iterator[pa.RecordBatch]:
             name_array = np.array(names, dtype=object)
-            for batch in batches:
-                if not batch.num_rows or not len(names):
-                    continue
-                x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, dim)
-                ids = np.array(batch.column(0).to_pylist(), dtype=object)
-                s = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                m = min(k + 8, s.shape[1])  # a few more, for ties at the end
-                least = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
-                r, c = np.nonzero(s >= least)
-                yield pa.record_batch([pa.array(name_array[r].tolist()), pa.array(ids[c].tolist()), pa.array(s[r, c])], names=["query_id", "id", "score"])
+            for whole in batches:
+                for at in range(0, whole.num_rows if names else 0, 1000):  # the matrix of scores stays below 32 MB
+                    batch = whole.slice(at, 1000)
+                    x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(-1, dim)
+                    ids = np.array(batch.column(0).to_pylist(), dtype=object)
+                    s = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                    m = min(k + 8, s.shape[1])  # a few more, for ties at the end
+                    least = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
+                    r, c = np.nonzero(s >= least)
+                    yield pa.record_batch([pa.array(name_array[r].tolist()), pa.array(ids[c].tolist()), pa.array(s[r, c])], names=["query_id", "id", "score"])
 
         parts.append(fine.mapInArrow(scan, f"query_id {qkind}, id {kind}, score double"))
     return _top(_union(parts), k, "score", "id").select("query_id", "id", "score", "rank")

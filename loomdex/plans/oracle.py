@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomdex.config import NOISE_PATTERNS
+from loomdex.config import ABBREVIATIONS, INFERENCE_PHRASES, NOISE_PATTERNS, STOPWORDS, TERMS
 
 _HASH = "regexp_replace(lower(trim(file_hash)), '^sha256:', '')"
 _ONCE = """once AS (SELECT chunk_id, max(content) AS content, max(file_path) AS file_path, max(file_name) AS file_name, max(page_start) AS page_start,
@@ -75,7 +75,64 @@ _FLAGS = """flags AS (SELECT e.id, category, difficulty,
         FROM eval_cases e LEFT JOIN (SELECT h.*, coalesce(list_bool_or(list_transform(coalesce(c.ground_truth_file, []), lambda g: contains(h.file_name, g))), false) AS m FROM hits h JOIN eval_cases c ON c.id = h.query_id) x ON x.query_id = e.id
         GROUP BY e.id, category, difficulty)"""
 
+
+
+def _list(items) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+
+
+def _distinct(x: str) -> str:
+    """The list without repeats, in order."""
+    return f"list_filter({x}, lambda y, i: list_position({x}, y) = i)"
+
+
+_HAN = sorted((t for t in TERMS if all("一" <= c <= "鿿" for c in t)), key=lambda t: (-len(t), t))
+_STOP = sorted((w for w in STOPWORDS if len(w) > 1), key=lambda t: (-len(t), t))
+_CHINESE = f"list_filter(regexp_extract_all(question, '{'|'.join([*_HAN, *_STOP, '[\\x{4e00}-\\x{9fff}]{2}'])}'), lambda t: NOT list_contains({_list(STOPWORDS)}, t))"
+_TABLE = "[" + ", ".join(f"{{'i': {i}, 'zh': '{zh}', 'en': '{en.replace(chr(39), chr(39) * 2)}'}}" for i, (zh, en) in enumerate(TERMS.items())) + "]"
+_GATE_TOKENS = f"""tok AS (SELECT DISTINCT query_id, token, kind FROM (
+        SELECT id AS query_id, unnest(list_transform({_ENGLISH}, lambda t: regexp_replace(t, '[.\\-]+$', ''))) AS token, 'en' AS kind FROM eval_cases UNION ALL SELECT id, unnest({_CHINESE}), 'zh' FROM eval_cases) WHERE kind = 'zh' OR length(token) >= 2),
+    t AS (SELECT DISTINCT token FROM tok), df AS (SELECT token, (SELECT count(*) FROM once WHERE contains(lower(content), lower(token))) AS df FROM t)"""
+
+
+def _sections() -> str:
+    cols, names = [], []
+    for n in range(1, 7):
+        cols.append(f"last_value(CASE WHEN kind = 'heading' AND level = {n} THEN {{'n': seg_no, 't': title}} END IGNORE NULLS) OVER w AS a{n}, max(CASE WHEN kind = 'heading' AND level < {n} THEN seg_no END) OVER w AS c{n}")
+        names.append(f"CASE WHEN c{n} IS NULL OR a{n}.n > c{n} THEN a{n}.t END")
+    return f"""WITH r AS (SELECT doc, seg_no, max(kind) AS kind, max(level) AS level, max(text) AS text FROM segments GROUP BY doc, seg_no),
+        h AS (SELECT *, CASE WHEN kind = 'heading' THEN substr(regexp_replace(trim(string_split(text, chr(10))[1]), '\\s+', ' ', 'g'), 1, 120) END AS title FROM r),
+        o AS (SELECT doc, seg_no, {', '.join(cols)} FROM h WINDOW w AS (PARTITION BY doc ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+        SELECT doc, seg_no, concat_ws(' > ', {', '.join(names)}) AS path FROM o"""
+
+
 SQL: dict[str, str] = {
+    "p14_sections": _sections(),
+    "u03_query_terms": f"""WITH t AS (SELECT id AS query_id, list_concat({_distinct(_CHINESE)}, list_transform(regexp_extract_all(question, '[A-Za-z0-9_\\-.]{{2,}}'), lambda t: lower(t))) AS l FROM eval_cases),
+        d AS (SELECT query_id, {_distinct('l')} AS l FROM t) SELECT query_id, CAST(unnest(range(len(l))) AS INTEGER) AS n, unnest(l) AS term FROM d""",
+    "f10_evidence_gate": f"""WITH {_ONCE}, {_GATE_TOKENS}, n AS (SELECT greatest(1, floor(count(*) * 0.1)) AS most FROM once WHERE content IS NOT NULL),
+        g AS (SELECT query_id, bool_or(kind = 'en' AND df = 0) AS absent, count(*) FILTER (kind = 'en' AND df <= most) AS rare, count(*) FILTER (kind = 'zh') AS zh,
+            count(*) FILTER (kind = 'zh' AND (df > 0 OR list_contains({_list(TERMS)}, token))) AS known FROM tok JOIN df USING (token), n GROUP BY query_id),
+        v AS (SELECT e.id AS query_id, coalesce(absent OR (rare = 0 AND zh > 0 AND known = 0), false) AS no FROM eval_cases e LEFT JOIN g ON g.query_id = e.id)
+        SELECT query_id, NOT no AS passes, CASE WHEN no THEN 'no_subject_evidence' ELSE '' END AS reason FROM v""",
+    "w01_variants": f"""WITH q AS (SELECT id AS query_id, question, regexp_extract_all(question, '[A-Za-z0-9][A-Za-z0-9_\\-.]*') AS own,
+            list_sort(list_transform(list_filter({_TABLE}, lambda t: contains(question, t.zh)), lambda t: {{'at': instr(question, t.zh), 'i': t.i, 'en': t.en}}))[1:4] AS found FROM eval_cases),
+        m AS (SELECT *, list_filter(flatten(list_transform(found, lambda t: string_split(t.en, ' '))), lambda w: NOT list_contains(list_transform(own, lambda o: lower(o)), lower(w))) AS ws FROM q),
+        n AS (SELECT *, array_to_string({_distinct('ws')}, ' ') AS merged FROM m),
+        c AS (SELECT *, list_filter(regexp_extract_all(question, '\\b[sS][vV][cC][_\\-][a-zA-Z_]+'), lambda x: starts_with(x, 'svc')) AS cmds,
+            CASE WHEN length(question) > 20 AND regexp_matches(question, '[和、]') THEN list_filter(list_transform(regexp_split_to_array(question, '[和、]'), lambda p: regexp_replace(p, '^[ ?？，,。.]+|[ ?？，,。.]+$', '', 'g')), lambda p: length(p) >= 4) ELSE [] END AS parts FROM n),
+        a AS (SELECT query_id, list_concat([question], list_filter(list_transform(list_concat(
+            CASE WHEN regexp_matches(question, '[\\x{{4e00}}-\\x{{9fff}}]') AND len(found) > 0 THEN list_concat(CASE WHEN len(own) > 0 THEN [array_to_string(own, ' ') || ' ' || merged] ELSE [] END, [merged]) ELSE [] END,
+            flatten(list_transform(cmds, lambda x: [substr(x, 5), replace(substr(x, 5), '_', ' ')])), parts), lambda v: trim(v)), lambda v: length(v) >= 2)) AS vs FROM c),
+        d AS (SELECT query_id, {_distinct('vs')} AS vs FROM a) SELECT query_id, CAST(unnest(range(len(vs))) AS INTEGER) AS n, unnest(vs) AS variant FROM d""",
+    "g10_citations": f"""{_HITS} SELECT query_id, CAST(rank AS INTEGER) AS rank, file_name, page, chunk_id,
+        'file:///' || regexp_replace(replace(replace(url_encode(replace(file_path, '\\', '/')), '%2F', '/'), '%3A', ':'), '^/+', '') || CASE WHEN page IS NOT NULL AND page <> 0 THEN '#page=' || page ELSE '' END AS uri, substr(content, 1, 120) AS excerpt FROM hits WHERE rank <= 4""",
+    "g04_validate": f"""{_HITS}, c AS (SELECT query_id, lower(string_agg(content, chr(10)) || chr(10) || string_agg(file_name, chr(10))) AS txt, count(*) AS n FROM hits WHERE rank <= 4 GROUP BY query_id),
+        r AS (SELECT e.id AS query_id, reference_answer AS a, coalesce(txt, '') AS txt, coalesce(n, 0) AS n FROM eval_cases e LEFT JOIN c ON c.query_id = e.id),
+        f AS (SELECT query_id, list_filter(regexp_extract_all(a, '\\[(?:片段)?\\s*(\\d+)\\]', 1), lambda x: x::BIGINT > n)[1] AS cite, list_filter({_list(INFERENCE_PHRASES)}, lambda p: contains(a, p))[1] AS phrase,
+            list_filter(list_transform(regexp_extract_all(a, '[A-Za-z][A-Za-z0-9_\\-./]{{2,}}'), lambda t: regexp_replace(t, '\\.+$', '')), lambda t: length(t) >= 3 AND NOT list_contains({_list(ABBREVIATIONS)}, lower(t)) AND regexp_matches(t, '[_/\\-.]') AND NOT contains(txt, lower(t)))[1] AS name,
+            list_filter(regexp_extract_all(a, '\\b\\d+\\.\\d+\\.\\d+(?:\\.\\d+)?\\b'), lambda v: NOT contains(txt, v))[1] AS version FROM r)
+        SELECT query_id, coalesce('citation:' || cite, 'inference:' || phrase, 'identifier:' || name, 'version:' || version, '') AS reason FROM f""",
     "p3_found": f"""
         WITH m AS (SELECT file_path, lower(trim(status)) AS st, {_HASH} AS h, row_number() OVER (PARTITION BY file_path ORDER BY indexed_at DESC) AS rn FROM manifest),
         s AS (SELECT DISTINCT file_path, {_HASH} AS h FROM file_scan WHERE file_hash IS NOT NULL)
