@@ -77,3 +77,36 @@ def hyperlink(uri: Column, text: Column) -> Column:
 def citations(hits: DataFrame) -> DataFrame:
     """(query_id, rank, file_name, page, chunk_id, uri, excerpt)."""
     return hits.select("query_id", "rank", "file_name", "page", "chunk_id", file_uri(F.col("file_path"), F.col("page")).alias("uri"), F.substring("content", 1, 120).alias("excerpt"))
+
+
+def chat(hits: DataFrame, url: str, model: str, system: str, budget: int = 2800, timeout: float = 600.0, options: dict | None = None) -> DataFrame:
+    """(query_id, answer, contents, names): answers of a chat service to the questions (column text) of hits, one request for each question.
+
+    The service takes {model, messages, options} and gives {message: {content}}; deterministic options are the default. A question whose request
+    fails gets an empty answer, which counts as a refusal. Reasoning between think tags is cut out."""
+    import json
+    import urllib.request
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    settings = {"temperature": 0.0, "top_k": 1, "seed": 42} | (options or {})
+    per = hits.groupBy("query_id").agg(F.max("text").alias("text"), F.array_sort(F.collect_list(F.struct("rank", "content", "file_name"))).alias("h"))  # at most the final top n
+    asked = per.join(contexts(hits, budget).select("query_id", "context"), "query_id")
+    rows = asked.select("query_id", "text", "context", F.transform("h", lambda x: x["content"]).alias("contents"), F.transform("h", lambda x: x["file_name"]).alias("names"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opener = urllib.request.build_opener(urllib.request.ProxyHandler({}))
+        for frame in frames:
+            said = []
+            for text, context in zip(frame["text"], frame["context"], strict=True):
+                body = {"model": model, "stream": False, "options": settings, "messages": [{"role": "system", "content": system}, {"role": "user", "content": f"{context}\n\n{text}"}]}
+                try:
+                    with opener.open(urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"}), timeout=timeout) as r:
+                        said.append(json.load(r)["message"]["content"])
+                except (OSError, KeyError, ValueError):
+                    said.append("")
+            yield frame[["query_id", "contents", "names"]].assign(answer=said)
+
+    made = rows.mapInPandas(run, "query_id string, contents array<string>, names array<string>, answer string")
+    return made.withColumn("answer", F.trim(F.regexp_replace("answer", "(?s)<think>.*?</think>", "")))

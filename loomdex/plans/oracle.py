@@ -133,6 +133,11 @@ SQL: dict[str, str] = {
             list_filter(list_transform(regexp_extract_all(a, '[A-Za-z][A-Za-z0-9_\\-./]{{2,}}'), lambda t: regexp_replace(t, '\\.+$', '')), lambda t: length(t) >= 3 AND NOT list_contains({_list(ABBREVIATIONS)}, lower(t)) AND regexp_matches(t, '[_/\\-.]') AND NOT contains(txt, lower(t)))[1] AS name,
             list_filter(regexp_extract_all(a, '\\b\\d+\\.\\d+\\.\\d+(?:\\.\\d+)?\\b'), lambda v: NOT contains(txt, v))[1] AS version FROM r)
         SELECT query_id, coalesce('citation:' || cite, 'inference:' || phrase, 'identifier:' || name, 'version:' || version, '') AS reason FROM f""",
+    "s12_lookup": """SELECT chunk_id, max(file_path) AS file_path, max(chunk_index) AS chunk_index FROM chunks WHERE is_parent AND chunk_id IN
+        (SELECT parent_chunk_id FROM chunks WHERE NOT is_parent AND nullif(parent_chunk_id, '') IS NOT NULL) GROUP BY chunk_id""",
+    "e01_embed": f"""WITH {_ONCE}, x AS (SELECT chunk_id, unnest({_WORDS.format('content')}) AS w FROM once WHERE content IS NOT NULL),
+        h AS (SELECT chunk_id, CAST(('0x' || substr(md5(w), 1, 8))::UBIGINT % 64 AS INTEGER) AS column_no, CASE WHEN ('0x' || substr(md5(w), 9, 2))::INTEGER % 2 = 1 THEN 1 ELSE -1 END AS s FROM x),
+        v AS (SELECT chunk_id, column_no FROM h GROUP BY chunk_id, column_no HAVING sum(s) <> 0) SELECT column_no, count(*) AS n FROM v GROUP BY column_no""",
     "p3_found": f"""
         WITH m AS (SELECT file_path, lower(trim(status)) AS st, {_HASH} AS h, row_number() OVER (PARTITION BY file_path ORDER BY indexed_at DESC) AS rn FROM manifest),
         s AS (SELECT DISTINCT file_path, {_HASH} AS h FROM file_scan WHERE file_hash IS NOT NULL)

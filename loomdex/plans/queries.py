@@ -12,7 +12,9 @@ from loomdex.config import DEFAULT, Settings
 from loomdex.functions import cleaning, text
 from loomdex.operators import chunking, evaluation, fusion, gates, generation, incremental, rewrite, search, store, structure
 from loomdex.operators.embedding import embed
+from loomdex.plans.evaluate import baseline
 from loomdex.plans.retrieve import Corpus, ask, retrieve
+from loomdex.sources.records import lookup
 from loomdex.sources.tables import table
 from loomdex.streaming.ingest import event_rates
 
@@ -373,6 +375,27 @@ def r12_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.join(hits, "query_id", "left").select("query_id", "reason", "rank", "chunk_id", "matched_by", F.round("rrf", 6).alias("rrf"))
 
 
+@query
+def r13_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """The best by hashed vectors, else by words."""
+    return baseline(questions(spark, sf), _corpus(spark, sf), HASHED).select("query_id", "rank", "chunk_id")
+
+
+@query
+def e01_embed(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns that the default provider's vectors of all chunks fill, counted."""
+    v = _corpus(spark, sf).vectors.select(F.posexplode("v").alias("column_no", "x")).where("x <> 0")
+    return v.groupBy("column_no").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def s12_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The parents that children name, by id."""
+    chunks = table(spark, sf, "chunks")
+    wanted = chunks.where(~F.col("is_parent")).select(F.nullif("parent_chunk_id", F.lit("")).alias("chunk_id")).where("chunk_id is not null")
+    return lookup(chunks.where("is_parent"), wanted, "chunk_id").groupBy("chunk_id").agg(F.max("file_path").alias("file_path"), F.max("chunk_index").alias("chunk_index"))
+
+
 @query
 def g11_ask(spark: SparkSession, sf: str) -> DataFrame:
     return ask(questions(spark, sf), _corpus(spark, sf), HASHED).select("query_id", "state", "text", "reason")

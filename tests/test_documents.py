@@ -193,3 +193,27 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         ingest.upserts(spark, str(folder), "k string, v int", t, "k", f"{tmp_path}/ckpt", "v").awaitTermination()
     assert {(r["k"], r["v"]) for r in t.read().collect()} == {("a", 2), ("b", 3)}
+
+
+def test_records(spark, tmp_path):
+    from loomdex.sources import records
+
+    path = f"{tmp_path}/cache.jsonl"
+    records.write_cache(spark.createDataFrame([("q", "old", 1), ("q", "new", 2), ("r", "x", 1)], records.CACHE), path)
+    (tmp_path / "cache.jsonl" / "bad.json").write_text("{broken\n")
+    assert {tuple(r) for r in records.read_cache(spark, path).collect()} == {("q", "new", 2), ("r", "x", 1)}
+    (tmp_path / "cases.json").write_text('{"cases": [{"id": "1", "question": "?", "ground_truth_doc": ["a"]}]}')
+    assert records.read_cases(spark, f"{tmp_path}/cases.json").first()["ground_truth_file"] == ["a"]
+    for _ in range(2):
+        records.append_errors(spark.createDataFrame([("f", "e")], "file_path string, error_msg string"), f"{tmp_path}/errors")
+    assert spark.read.json(f"{tmp_path}/errors").count() == 2
+
+
+def test_harness(spark):
+    from loomdex.plans.evaluate import evaluate, switches
+    from tests_shared import LOW, corpus
+
+    cases = spark.createDataFrame([("1", "battery module", "x", "easy", ["f1.pdf"]), ("2", "zebrafish", "neg", None, None)], "id string, question string, category string, difficulty string, ground_truth_file array<string>")
+    runs = {k: v for k, v in switches(LOW).items() if k in ("optimized", "off_mmr")}
+    got = {r["tag"]: (r["n"], r["hit1"]) for r in evaluate(cases, corpus(spark), runs).where("level = 'overall'").collect()}
+    assert got == {"optimized": (2, 50.0), "off_mmr": (2, 50.0), "baseline": (2, 50.0)}

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from loomdex.config import Settings
 from loomdex.functions.text import cache_key, first_words
 from loomdex.operators import fusion, gates, generation, rewrite, search
-from loomdex.plans.retrieve import Corpus, ask, retrieve
+from loomdex.plans.retrieve import ask, retrieve
+from tests_shared import LOW, corpus
 
 LIST = "query_id string, list_id int, rank int, chunk_id string, doc_id string, score double, path string"
 
@@ -146,17 +147,6 @@ def test_dense_leaves_unusable_out_and_breaks_ties(spark):
     assert search.dense_top_k(v.limit(0).select(F.lit("q").alias("query_id"), "v"), v, 2, 2).count() == 0
 
 
-def corpus(spark):
-    rows = [
-        (f"c{i}", t, f"d{i // 2}", f"/corpus/s/f{i // 2}.pdf", f"f{i // 2}.pdf", i % 2 + 1, "S")
-        for i, t in enumerate(["svc_drain stops the node and the storage pool", "the storage pool 3.2.1 grows", "replace the battery module of the node", "the storage fans of the enclosure", "quota tree of the node", "cached blocks of the storage node"])
-    ]
-    chunks = spark.createDataFrame(rows, "chunk_id string, content string, doc_id string, file_path string, file_name string, page_start int, section_path string")
-    from loomdex.operators.embedding import embed
-
-    return Corpus(chunks, chunks.select(F.col("chunk_id").alias("id"), embed(F.col("content"), dim=64).alias("v")))
-
-
 def test_evidence_gate(spark):
     q = spark.createDataFrame([("absent", "does zebrafish work"), ("zh", "量子纠缠"), ("known", "battery 更换"), ("plain", "the")], "query_id string, text string")
     tokens = gates.tokens_of(q)
@@ -174,9 +164,6 @@ def test_sparse_and_dense_gates(spark):
     assert {r["id"] for r in gates.dense_gate(hits, 8.0).collect()} == {"a", "d"}
 
 
-LOW = Settings(dense_min=0.2, sparse_min=0.1, ubiquitous_ratio=0.2)
-
-
 def test_retrieve_and_ask(spark):
     q = spark.createDataFrame([("1", "battery module"), ("2", "zebrafish tank")], "query_id string, text string")
     hits, verdicts = retrieve(q, corpus(spark), LOW)
