@@ -8,9 +8,12 @@ import sys
 from pyspark.sql import functions as F
 
 from loomdex.config import Settings
+from loomdex.operators.chunking import split_documents
+from loomdex.operators.evaluation import quality
 from loomdex.plans.index import Index, run
 from loomdex.plans.retrieve import Corpus, ask
 from loomdex.session import local_session, ship
+from loomdex.sources import files as source
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -27,6 +30,14 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--top-n", type=int, default=4)
     a.add_argument("--threshold", type=float, default=0.35)
     sub.add_parser("status", help="counts of the tables")
+    v = sub.add_parser("preview", help="segments and chunks of files, without indexing them")
+    v.add_argument("roots", nargs="+")
+    v.add_argument("-n", type=int, default=10)
+    v.add_argument("--chars", type=int, default=200)
+    sub.add_parser("quality", help="checks of the indexed chunks; exit code 1 where one fails")
+    c = sub.add_parser("chat", help="questions one by one; :quit, :status, :threshold X, :topn N")
+    c.add_argument("--top-n", type=int, default=4)
+    c.add_argument("--threshold", type=float, default=0.35)
     g = sub.add_parser("purge", help="empty the tables")
     g.add_argument("--yes", action="store_true")
     args = p.parse_args(argv)
@@ -41,15 +52,32 @@ def main(argv: list[str] | None = None) -> int:
             purge(index)
         print(run(index, args.roots, force=args.update, limit=args.limit))
     elif args.command == "ask":
-        asked = spark.createDataFrame([(str(n), q) for n, q in enumerate(args.questions)], "query_id string, text string")
-        corpus = Corpus(index.chunks.read().where("not is_parent"), index.vectors.read())
-        for r in ask(asked, corpus, Settings(dense_min=args.threshold, final_top_n=args.top_n)).orderBy("query_id").collect():
-            print(f"[{r['state']}] {r['text']}")
-            for c in r["citations"] or []:
-                print(f"  [{c['rank']}] {c['file_name']} {c['uri']}")
+        answer(index, args.questions, args.threshold, args.top_n)
+    elif args.command == "chat":
+        threshold, top_n = args.threshold, args.top_n
+        for line in iter(lambda: input("> ").strip(), ":quit"):
+            word, _, value = line.partition(" ")
+            if word in (":exit", ":q"):
+                break
+            if word == ":status":
+                status(index)
+            elif word == ":threshold":
+                threshold = float(value)
+            elif word == ":topn":
+                top_n = int(value)
+            elif line:
+                answer(index, [line], threshold, top_n)
+    elif args.command == "preview":
+        parsed = source.parse(source.scan(spark, args.roots))
+        parsed.groupBy("doc", "kind", "error").count().orderBy("doc").show(args.n, args.chars)
+        split_documents(parsed.where("error is null").drop("error")).select("file_name", "chunk_index", "chunk_type", "token_estimate", "content").show(args.n, args.chars)
+    elif args.command == "quality":
+        found = quality(index.chunks.read()).collect()
+        for r in found:
+            print(f"{r['severity']:4} {r['check']:20} {r['n']}")
+        return int(any(r["severity"] == "fail" and r["n"] for r in found))
     elif args.command == "status":
-        m = index.manifest.read().groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()
-        print({"files": {r["status"]: r["n"] for r in m}, "chunks": index.chunks.read().where("not is_parent").count(), "vectors": index.vectors.read().count()})
+        status(index)
     elif args.command == "purge":
         if not args.yes and input("Empty all tables? [y/N] ").strip().lower() != "y":
             return 1
@@ -57,6 +85,20 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
+def answer(index: Index, questions: list[str], threshold: float, top_n: int) -> None:
+    asked = index.spark.createDataFrame([(str(n), q) for n, q in enumerate(questions)], "query_id string, text string")
+    corpus = Corpus(index.chunks.read().where("not is_parent"), index.vectors.read())
+    for r in ask(asked, corpus, Settings(dense_min=threshold, final_top_n=top_n)).orderBy("query_id").collect():
+        print(f"[{r['state']}] {r['text']}")
+        for c in r["citations"] or []:
+            print(f"  [{c['rank']}] {c['file_name']} {c['uri']}")
+
+
+def status(index: Index) -> None:
+    m = index.manifest.read().groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()
+    print({"files": {r["status"]: r["n"] for r in m}, "chunks": index.chunks.read().where("not is_parent").count(), "vectors": index.vectors.read().count()})
+
+
 def purge(index: Index) -> None:
     for t in (index.chunks, index.vectors, index.manifest):
         t.truncate()

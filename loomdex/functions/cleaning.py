@@ -61,3 +61,15 @@ def learned_noise(lines: DataFrame, ratio: float = 0.30) -> DataFrame:
     pages = lines.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
     counted = keyed.groupBy("doc", "key").agg(F.countDistinct("page").alias("n_pages"))
     return counted.join(pages, "doc").where("pages >= 3").where(F.col("n_pages") >= F.greatest(F.lit(3), F.floor(F.col("pages") * ratio))).select("doc", "key", "n_pages")
+
+
+def in_zone(block: Column, height: Column, zone: float = 0.12) -> Column:
+    """Whether a block lies wholly in the head or the foot of its page."""
+    return (block["y1"] <= height * zone) | (block["y0"] >= height * (1 - zone))
+
+
+def clean_blocks(blocks: Column, noise: Column, height: Column, zone: float = 0.12) -> Column:
+    """array<string>: the texts of a page's blocks. Blocks of the head or foot zone whose first line has a learned key are dropped, then noise lines;
+    what is left is scrubbed, and empty texts are dropped."""
+    kept = F.filter(blocks, lambda b: ~(in_zone(b, height, zone) & F.array_contains(F.coalesce(noise, F.array().cast("array<string>")), norm_key(F.get(F.split(b["text"], "\n"), 0)))))
+    return F.filter(F.transform(kept, lambda b: clean_text(b["text"])), lambda t: t != "")

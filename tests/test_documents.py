@@ -217,3 +217,23 @@ def test_harness(spark):
     runs = {k: v for k, v in switches(LOW).items() if k in ("optimized", "off_mmr")}
     got = {r["tag"]: (r["n"], r["hit1"]) for r in evaluate(cases, corpus(spark), runs).where("level = 'overall'").collect()}
     assert got == {"optimized": (2, 50.0), "off_mmr": (2, 50.0), "baseline": (2, 50.0)}
+
+
+def test_clean_blocks(spark):
+    blocks = [block(0, 0, 9, 8, "Guide page 7\nmore"), block(0, 40, 9, 60, "body text\nPage 3 of 9"), block(0, 95, 9, 99, "unlearned foot"), block(0, 50, 9, 60, "draft")]
+    df = spark.createDataFrame([(blocks, ["guide page #"], 100.0)], f"b array<{structure.BLOCK}>, n array<string>, h double")
+    assert df.select(cleaning.clean_blocks(F.col("b"), F.col("n"), F.col("h")).alias("t")).first()["t"] == ["body text", "unlearned foot"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loomdex.cli import main
+
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.md").write_text("# Battery\n" + "The battery module of the enclosure is replaced while the node runs. " * 15)
+    at = ["--index", f"file://{tmp_path}/ix"]
+    assert main([]) == 1
+    assert main([*at, "index", f"{tmp_path}/docs"]) == 0 and main([*at, "status"]) == 0
+    assert "'done': 1" in capsys.readouterr().out
+    assert main([*at, "ask", "battery module", "--threshold", "0.1"]) == 0
+    assert "a.md" in capsys.readouterr().out
+    assert main([*at, "quality"]) in (0, 1) and main([*at, "purge", "--yes"]) == 0
