@@ -145,15 +145,35 @@ _FOLDED = (
     " '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')"
 )
 
-SQL: dict[str, str] = {
-    "p1_found": f"SELECT DISTINCT chunk_id FROM chunks WHERE content IS NOT NULL AND {_TOKENS.format('content')} > CASE WHEN is_parent THEN 2048 ELSE 512 END",
-    "p4_found": f"""
-        WITH c AS (SELECT chunk_id, file_path, regexp_extract(file_path, '(?:^|[/\\\\])corpus[/\\\\]([^/\\\\]+)[/\\\\]', 1) AS src, content FROM chunks WHERE NOT is_parent),
+_WORDS = "regexp_extract_all(regexp_replace(lower({0}), '([\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}\\x{{3040}}-\\x{{30ff}}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+|[\\x{{3040}}-\\x{{30ff}}]')"
+
+_REPEATED = f"""c AS (SELECT chunk_id, file_path, regexp_extract(file_path, '(?:^|[/\\\\])corpus[/\\\\]([^/\\\\]+)[/\\\\]', 1) AS src, content FROM chunks WHERE NOT is_parent),
         f AS (SELECT src, count(DISTINCT file_path) AS of FROM c GROUP BY src),
         s AS (SELECT chunk_id, file_path, src, string_split(content, chr(10)) AS ls FROM c WHERE content IS NOT NULL),
         u AS (SELECT chunk_id, file_path, src, unnest(ls) AS l, unnest(range(len(ls))) AS line_no FROM s),
-        n AS (SELECT chunk_id, file_path, src, line_no, {_FOLDED} AS k FROM u),
-        k AS (SELECT src, k FROM n JOIN f USING (src) WHERE regexp_matches(k, '\\p{{L}}') GROUP BY src, k, of HAVING count(DISTINCT file_path) >= 5 AND count(DISTINCT file_path) >= 0.2 * of)
-        SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM n JOIN k USING (src, k)""",
+        n AS (SELECT chunk_id, file_path, src, line_no, l, {_FOLDED} AS k FROM u),
+        k AS (SELECT src, k FROM n JOIN f USING (src) WHERE regexp_matches(k, '\\p{{L}}') GROUP BY src, k, of HAVING count(DISTINCT file_path) >= 5 AND count(DISTINCT file_path) >= 0.2 * of)"""
+
+_LEAKS = f"""d AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents WHERE text IS NOT NULL),
+        dw AS (SELECT doc_id, array_to_string(ws[i + 1:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(len(ws) - 11)) AS i FROM d WHERE len(ws) >= 12)),
+        e AS (SELECT id AS case_id, 'question' AS field, {_WORDS.format('question')} AS ws FROM eval_cases UNION ALL SELECT id, 'reference_answer', {_WORDS.format('reference_answer')} FROM eval_cases),
+        ew AS (SELECT case_id, field, array_to_string(ws[i + 1:i + 12], ' ') AS g FROM (SELECT case_id, field, ws, unnest(range(len(ws) - 11)) AS i FROM e WHERE len(ws) >= 12)),
+        hit AS (SELECT doc_id, case_id, field, count(*) AS n FROM dw JOIN ew USING (g) GROUP BY ALL)"""
+
+SQL: dict[str, str] = {
+    "p2_found": """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM chunk_vectors WHERE embedding IS NOT NULL AND len(embedding) = 64
+            AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+        u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM v) SELECT a.id AS vec_a, b.id AS vec_b FROM u a JOIN u b ON a.id < b.id AND list_dot_product(a.v, b.v) >= 0.9 * a.n * b.n""",
+    "p4_cleaned": f"""WITH {_REPEATED}, g AS (SELECT DISTINCT n.chunk_id, n.line_no, n.l, k.k IS NOT NULL AS gone FROM n LEFT JOIN k ON k.src = n.src AND k.k = n.k)
+        SELECT chunk_id, coalesce(string_agg(l, chr(10) ORDER BY line_no) FILTER (NOT gone), '') AS content, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed FROM g GROUP BY chunk_id HAVING bool_or(gone)""",
+    "p6_found": f"""WITH c AS (SELECT DISTINCT chunk_id, {_WORDS.format('content')} AS ws FROM chunks WHERE NOT is_parent AND content IS NOT NULL),
+        s AS (SELECT DISTINCT chunk_id, g FROM (SELECT chunk_id, array_to_string(ws[i + 1:i + 3], ' ') AS g FROM (SELECT chunk_id, ws, unnest(range(greatest(1, len(ws) - 2))) AS i FROM c))),
+        n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY chunk_id),
+        p AS (SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL)
+        SELECT chunk_a, chunk_b FROM p JOIN n x ON x.chunk_id = chunk_a JOIN n y ON y.chunk_id = chunk_b WHERE c >= 0.7 * (x.n + y.n - c)""",
+    "p9_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, case_id FROM hit",
+    "p9_report": f"WITH {_LEAKS} SELECT case_id, field, count(*) AS n_documents, CAST(max(n) AS INTEGER) AS most_windows FROM hit GROUP BY case_id, field",
+    "p1_found": f"SELECT DISTINCT chunk_id FROM chunks WHERE content IS NOT NULL AND {_TOKENS.format('content')} > CASE WHEN is_parent THEN 2048 ELSE 512 END",
+    "p4_found": f"WITH {_REPEATED} SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM n JOIN k USING (src, k)",
     "p8_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
