@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +36,7 @@ _lexical = re.compile("[^\\W\\d_぀-ヿ㐀-䶿一-鿿]+(?:['’][^\\W\\d_]+)?")
 _token = re.compile(r"[^\s.,;:?()\[\]{}“”\"«»…–—\-‐‑¬­/<>=+*#]+(?:['’][^\s.,;:?()\[\]{}“”\"«»…–—\-‐‑¬­/<>=+*#]+)?")
 _blob = re.compile(r"\S{40,}")
 _cut = re.compile("([^\\W\\d_぀-ヿ㐀-䶿一-鿿][\\w¢†|'’]*)([-‐‑¬­])[ \t ]*\n[ \t ]*([^\\W\\d_぀-ヿ㐀-䶿一-鿿][\\w¢†|'’]*)")
+_hyphen = re.compile("[-‐‑¬­][ \t ]*\n")
 _ideograph = re.compile("[぀-ヿ㐀-䶿一-鿿]")
 _suspect = re.compile("[¢†ıﬁﬂﬀﬃﬄ|]")
 _digit_in_word = re.compile("[^\\W\\d_]{2,}[015]{1,2}[^\\W\\d_]+|[^\\W\\d_]{3,}[^\\W\\d_][15]|[15][^\\W\\d_]{3,}")
@@ -43,7 +45,6 @@ _page = re.compile(
     rf"(?:[-–—\[(|~·•=]{{0,2}}\s*{_n}\s*[-–—\])|~·•=]{{0,2}}|(?:p[¢e]?[.,]?|pg\.?|pag[e¢]|p\s?a\s?g\s?e|s[e¢][ıi1l]t[e¢]|s\.|p[áa]g[ıi1l]na|p[áa]g\.|第)\s*{_n}\s*(?:(?:of|/|de|von|sur|共)\s*{_n})?\s*[页頁ページ]{{0,3}}|{_n}\s*(?:/|of|von|de|sur)\s*{_n}|{_n}\s*\|\s*p\s?a\s?g\s?[e¢]|{_n}\s*[页頁]|{_n}\s*ページ)",
     re.IGNORECASE,
 )
-_edges = re.compile(rf"^(?:(?:p\.|page|seite|página|第)?\s*{_n}\s*页?\s*[|:·–—-]*\s+|[|:·–—\s-]+)|(?:\s*[|:·–—-]+\s*|\s+)(?:(?:p\.|page|seite|página|第)?\s*{_n}\s*页?)$|[|:·–—\s-]+$", re.IGNORECASE)
 
 
 def fold(word: str) -> str:
@@ -78,6 +79,20 @@ def distance(seen: str, meant: str) -> float:
     return d[n][m]
 
 
+class _Doubtful(dict):
+    """Whether a word reads as something else, whatever stands before it."""
+
+    def __init__(self, lex: Lexicon):
+        super().__init__()
+        self.lex = lex
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = found = "_" not in word and self.lex.correct(word) is not None
+        return found
+
+
 class Lexicon:
     def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], total: int):
         self.words, self.pairs, self.total = words, pairs, total
@@ -85,7 +100,11 @@ class Lexicon:
         self._known: dict[tuple[str, str], str | None] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_index": None, "_known": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("doubtful", "_weak_words")} | {"_index": None, "_known": {}}
+
+    @cached_property
+    def doubtful(self) -> _Doubtful:
+        return _Doubtful(self)
 
     @staticmethod
     def _less(form: str) -> set[str]:
@@ -180,20 +199,31 @@ def stem(path: str | None) -> str:
     return _slug(re.sub(r"_\d+$", "", re.sub(r"\.[a-z0-9]+$", "", name)))
 
 
+_number = re.compile("[0-9lioszg]{1,4}|p|pg|pag|page|seite|p_gina|of|de|von|sur")
+
+
+@lru_cache(4096)
+def _folded(text: str) -> str:
+    return fold(re.sub(r"\s+", " ", text.strip()))
+
+
 def _is_header(line: str, title: str | None, name: str) -> bool:
     """The title, or the file's name that was made of it, alone or with a page number and at most one word (a product's name) more, in any
     letter case."""
     if len(line) > max(len(title or ""), len(name)) + 30:
         return False
     if title:
-        x, t = (fold(re.sub(r"\s+", " ", v.strip())) for v in (line, title))
+        x, t = fold(re.sub(r"\s+", " ", line)), _folded(title)
         if t in x and sum(len(r) > 4 for r in re.findall(r"\w+", x.replace(t, " ", 1))) <= 1:
             return True
-    once = _edges.sub("", line.strip())
-    for x in {_slug(line), _slug(once), _slug(_edges.sub("", once))}:
-        if len(name) >= 6 and x and (x == name or x.endswith("_" + name) and x.count("_") == name.count("_") + 1 or fold(x) == fold(name)):
-            return True
-    return False
+    if len(name) < 6:
+        return False
+    x, t = fold(_slug(line)), _folded(name)
+    at = f"_{x}_".find(f"_{t}_")
+    if at < 0:
+        return False
+    before, after = (p.split("_") if p else [] for p in (x[:at].strip("_"), x[at + len(t) :].strip("_")))
+    return all(map(_number.fullmatch, after)) and sum(not _number.fullmatch(w) for w in before) <= 1
 
 
 def repair(text: str, title: str | None, lex: Lexicon, name: str = "", headers: bool = True) -> tuple[str, list[str]]:
@@ -203,7 +233,7 @@ def repair(text: str, title: str | None, lex: Lexicon, name: str = "", headers:
     raw = text.split("\n")
     for line in raw:
         bare = line.strip()
-        if bare and len(raw) > 1 and _page.fullmatch(bare):
+        if bare and len(raw) > 1 and len(bare) <= 40 and _page.fullmatch(bare):
             damage.add("page_number")
         elif headers and bare and len(raw) > 1 and _is_header(bare, title, name):
             damage.add("header")
@@ -225,7 +255,8 @@ def repair(text: str, title: str | None, lex: Lexicon, name: str = "", headers:
         damage.add("cut_word")
         return a + b
 
-    out = _cut.sub(join, out)
+    if _hyphen.search(out):
+        out = _cut.sub(join, out)
     before = ""
 
     def word(m: re.Match) -> str:
@@ -241,11 +272,13 @@ def repair(text: str, title: str | None, lex: Lexicon, name: str = "", headers:
             return fixed
         return w
 
-    parts, at = [], 0
-    for m in _blob.finditer(out):  # encoded blobs are copied
-        parts += [_token.sub(word, out[at : m.start()]), m[0]]
-        at = m.end()
-    out = "".join([*parts, _token.sub(word, out[at:])])
+    doubt = lex.doubtful
+    if any(doubt[w] for w in set(_token.findall(out))):
+        parts, at = [], 0
+        for m in _blob.finditer(out):  # encoded blobs are copied
+            parts += [_token.sub(word, out[at : m.start()]), m[0]]
+            at = m.end()
+        out = "".join([*parts, _token.sub(word, out[at:])])
     if damage:
         out = re.sub(r"(?<![.!?:。！？\n|])[ \t]*\n[ \t]*(?=[^\n\s•*|#\-])", " ", out)
         out = re.sub("(?<=[一-鿿぀-ヿ，、]) (?=[一-鿿぀-ヿ])", "", out)
@@ -270,9 +303,12 @@ def repaired(records: DataFrame, lex: Lexicon) -> DataFrame:
 
 
 def scanned_records(chunks: DataFrame, segments: DataFrame) -> DataFrame:
-    """Children of chunks and rows of segments that come from PDF files, with their document's title."""
-    pdf = lambda c: F.lower(F.col(c)).endswith(".pdf")
-    titles = chunks.where(pdf("file_path")).groupBy(F.col("file_path").alias("doc")).agg(F.max("doc_title").alias("title"))
-    a = chunks.where(~F.col("is_parent") & pdf("file_path")).select(F.lit("chunks").alias("tab"), F.col("chunk_id").alias("rec_key"), F.col("content").alias("text"), F.col("file_path").alias("doc"), F.col("chunk_type").alias("kind"))
-    b = segments.where(pdf("doc")).select(F.lit("segments").alias("tab"), F.concat("doc", F.lit("#"), "seg_no").alias("rec_key"), "text", "doc", "kind")
-    return a.unionByName(b).join(titles, "doc", "left")
+    """Children of chunks and rows of segments with their document's title. Copies of a scanned file go by any ending, so that all are read."""
+    titles = chunks.groupBy(F.col("file_path").alias("doc")).agg(F.max("doc_title").alias("t"))
+    a = chunks.where(~F.col("is_parent")).select(
+        F.lit("chunks").alias("tab"), F.col("chunk_id").alias("rec_key"), F.col("content").alias("text"), F.col("file_path").alias("doc"), F.col("chunk_type").alias("kind"), F.col("doc_title").alias("title")
+    )
+    b = segments.select(F.lit("segments").alias("tab"), F.concat("doc", F.lit("#"), "seg_no").alias("rec_key"), "text", "doc", "kind", F.lit(None).cast("string").alias("title"))
+    known, open_ = a.where("title is not null"), a.where("title is null").unionByName(b)  # only texts without a title of their own are shuffled
+    found = open_.join(titles, "doc", "left").select("tab", "rec_key", "text", "doc", "kind", F.col("t").alias("title"))
+    return known.unionByName(found)
