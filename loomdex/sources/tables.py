@@ -6,8 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables whose rows are costly to work on.
+HEAVY = {"chunks", "segments", "documents", "chunk_vectors"}
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    """A table of the engine. One that is stored in fewer splits than there are cores, as a single file is, is spread over them by one small
+    shuffle, which column pruning and filters pass; a large table has splits enough and is read as it is."""
+    df = spark.read.parquet(f"{root}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in HEAVY and df.rdd.getNumPartitions() < cores else df
 
 
 def children(spark: SparkSession, root: str, *columns: str) -> DataFrame:
