@@ -50,8 +50,8 @@ def first_words(text: Column, n: int) -> Column:
 
 def words(text: Column) -> Column:
     """array<string>: each Han character or kana, and each other run of letters and digits, in lower case."""
-    east = "\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{3040}-\\x{30ff}"
-    return F.regexp_extract_all(F.lower(text), F.lit(f"[{east}]|[\\p{{L}}\\p{{N}}&&[^{east}]]+"), F.lit(0))
+    apart = F.regexp_replace(F.lower(text), "([\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{3040}-\\x{30ff}])", " $1 ")
+    return F.filter(F.split(apart, "[^\\p{L}\\p{N}\\x{3040}-\\x{30ff}]+"), lambda w: w != "")
 
 
 def english_tokens(query: Column) -> Column:

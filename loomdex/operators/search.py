@@ -79,6 +79,8 @@ def bm25_top_k(queries: DataFrame, texts: DataFrame, k: int = 20, k1: float = 1.
     words. A term counts once for each query. Null texts are no rows of the index.
     """
     analysed = texts.where("text is not null").select("id", F.explode(F.array(analyse(F.col("text")))).alias("words"))
+    spark = texts.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     stats = analysed.agg(F.count(F.lit(1)).alias("n_all"), F.avg(F.size("words")).alias("avg_len"))
     parts = []
     for group in _groups(queries, "query_id"):
@@ -89,7 +91,9 @@ def bm25_top_k(queries: DataFrame, texts: DataFrame, k: int = 20, k1: float = 1.
         idf = F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weights = df.crossJoin(F.broadcast(stats)).select("term", "avg_len", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))  # stats is one row
         part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-        scored = postings.join(weights, "term").select("id", "term", part.alias("part")).join(F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+        # by text, in a number of parts that isn't coalesced: few bytes of postings make many rows, and their sums need no further shuffle
+        by_text = postings.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id")
+        scored = by_text.join(F.broadcast(weights), "term").select("id", "term", part.alias("part")).join(F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
         parts.append(scored)
     return _top(_union(parts), k, "score", "id").select("query_id", "id", "score", "rank")
 
