@@ -27,11 +27,15 @@ from pyspark.sql import functions as F
 CONFUSIONS = {
     "1": ("l", "i"), "0": ("o",), "5": ("s",), "6": ("b",), "8": ("b",), "9": ("g",), "|": ("l", "i"), "!": ("l", "i"), "¢": ("e", "c"), "†": ("t",),
     "ı": ("i",), "€": ("e",), "ﬁ": ("fi",), "ﬂ": ("fl",), "ﬀ": ("ff",), "ﬃ": ("ffi",), "ﬄ": ("ffl",), "rn": ("m",), "vv": ("w",), "ii": ("u",), "cl": ("d",), "nn": ("m",), "l": ("i",), "i": ("l",),
+    "li": ("h",), "m": ("rn",), "d": ("cl",),
 }
 CHEAP = 0.3
 
-_fold_pairs = [(seen, meant[0]) for seen, meant in CONFUSIONS.items() if len(seen) == 2] + [(s, m[0]) for s, m in CONFUSIONS.items() if len(m[0]) > 1]
-_fold_chars = str.maketrans({s: m[0] for s, m in CONFUSIONS.items() if len(s) == 1 and len(m[0]) == 1 and s != "l"} | {"i": "l", "ı": "l"})
+# A letter that is read as two is folded to the two, so that confusions which overlap (clianges, clisk) fold alike in any order.
+_folded_letters = {"h": "ll", "u": "ll", "w": "vv", "m": "rn", "d": "cl", "i": "l"}
+_fold_chars = str.maketrans(_folded_letters | {s: "".join(_folded_letters.get(c, c) for c in m[0]) for s, m in CONFUSIONS.items() if len(s) == 1 and s not in "lmdi"})
+_line_pairs = [(seen, meant[0]) for seen, meant in CONFUSIONS.items() if len(seen) == 2 and seen != "li"] + [(s, m[0]) for s, m in CONFUSIONS.items() if len(m[0]) > 1 and not s.isascii()]
+_line_chars = str.maketrans({s: m[0] for s, m in CONFUSIONS.items() if len(s) == 1 and len(m[0]) == 1 and s != "l"} | {"i": "l", "ı": "l"})
 _lexical = re.compile("[^\\W\\d_぀-ヿ㐀-䶿一-鿿]+(?:['’][^\\W\\d_]+)?")
 _token = re.compile(r"[^\s.,;:?()\[\]{}“”\"«»…–—\-‐‑¬­/<>=+*#]+(?:['’][^\s.,;:?()\[\]{}“”\"«»…–—\-‐‑¬­/<>=+*#]+)?")
 _blob = re.compile(r"\S{40,}")
@@ -49,11 +53,16 @@ _page = re.compile(
 
 def fold(word: str) -> str:
     """The word with letters that scanners confuse made one."""
-    w = word.lower()
-    for seen, meant in _fold_pairs:
+    return word.lower().replace("nn", "rn").translate(_fold_chars)
+
+
+def fold_line(line: str) -> str:
+    """As fold, with no letter made two: for lines, whose words are compared by length and with numbers."""
+    w = line.lower()
+    for seen, meant in _line_pairs:
         if seen in w:
             w = w.replace(seen, meant)
-    return w.translate(_fold_chars)
+    return w.translate(_line_chars)
 
 
 def distance(seen: str, meant: str) -> float:
@@ -204,7 +213,7 @@ _number = re.compile("[0-9lioszg]{1,4}|p|pg|pag|page|seite|p_gina|of|de|von|sur"
 
 @lru_cache(4096)
 def _folded(text: str) -> str:
-    return fold(re.sub(r"\s+", " ", text.strip()))
+    return fold_line(re.sub(r"\s+", " ", text.strip()))
 
 
 def _is_header(line: str, title: str | None, name: str) -> bool:
@@ -213,12 +222,12 @@ def _is_header(line: str, title: str | None, name: str) -> bool:
     if len(line) > max(len(title or ""), len(name)) + 30:
         return False
     if title:
-        x, t = fold(re.sub(r"\s+", " ", line)), _folded(title)
+        x, t = fold_line(re.sub(r"\s+", " ", line)), _folded(title)
         if t in x and sum(len(r) > 4 for r in re.findall(r"\w+", x.replace(t, " ", 1))) <= 1:
             return True
     if len(name) < 6:
         return False
-    x, t = fold(_slug(line)), _folded(name)
+    x, t = fold_line(_slug(line)), _folded(name)
     at = f"_{x}_".find(f"_{t}_")
     if at < 0:
         return False

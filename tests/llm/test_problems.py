@@ -140,6 +140,14 @@ def test_misread_words_are_found_again():
     assert right >= 0.9 * tried > 10
 
 
+def test_letters_read_as_two_and_two_as_one():
+    sound = "where changes touch which orphaned journal enclosure cluster clock nightly without share environment column disk".split()
+    lex = scans.Lexicon({w: 1000 for w in sound}, {}, 30_000)
+    read = {"wliere": "where", "clianges": "changes", "toucli": "touch", "wliicli": "which", "orplianed": "orphaned", "witliout": "without", "niglitly": "nightly", "sliare": "share", "joumal": "journal", "endosure": "enclosure", "duster": "cluster", "dock": "clock", "clisk": "disk", "environrnent": "environment", "colurnn": "column"}
+    assert {w: lex.correct(w) for w in read} == read
+    assert lex.correct("Wliere") == "Where" and all(lex.correct(w) is None for w in [*sound, "cliff", "line", "model"])
+
+
 # --- 6 ---
 
 
