@@ -85,7 +85,7 @@ class Settings:
     toc_line_ratio: float = 0.35
     extensions: tuple[str, ...] = ("pdf", "md", "txt", "docx", "html", "htm")
     excluded: tuple[str, ...] = ("node_modules", ".venv", "venv", "__pycache__", ".git", "site-packages", "_build", "data", "logs")
-    newest_per_root: int = 500
+    newest_per_root: int = 500  # of the report s02; the index takes all files
     max_file_bytes: int = 50 * 1024 * 1024
 
 

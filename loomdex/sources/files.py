@@ -12,7 +12,6 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomdex.config import DEFAULT, Settings
 
@@ -33,7 +32,7 @@ def parser(*extensions: str):
 
 
 def scan(spark: SparkSession, roots: list[str], settings: Settings = DEFAULT) -> DataFrame:
-    """(root, file_path, size, mtime, ext, content): files of the allowed endings and size, the newest of each root; directories with an excluded
+    """(root, file_path, size, mtime, ext, content): all files of the allowed endings and size; directories with an excluded
     name below the root are left out. Missing roots have no files."""
     out = None
     for root in roots:
@@ -48,10 +47,7 @@ def scan(spark: SparkSession, roots: list[str], settings: Settings = DEFAULT) ->
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         return spark.createDataFrame([], "root string, file_path string, size bigint, mtime double, ext string, content binary")
-    # ranks are found on the listing alone; the bytes of the files that stay are read behind the join
-    w = Window.partitionBy("root").orderBy(F.desc("ms"), "file_path")
-    kept = out.select("root", "file_path", "ms").withColumn("n", F.row_number().over(w)).where(F.col("n") <= settings.newest_per_root).select("root", "file_path")
-    return out.join(kept, ["root", "file_path"], "left_semi").select("root", "file_path", "size", (F.col("ms") / 1000).alias("mtime"), "ext", "content")
+    return out.select("root", "file_path", "size", (F.col("ms") / 1000).alias("mtime"), "ext", "content")
 
 
 def hashed(files: DataFrame) -> DataFrame:

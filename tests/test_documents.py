@@ -1,10 +1,12 @@
 """Cleaning, chunking, page structures, sources, stores, indexing, streams."""
 
+import os
 import random
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from loomdex.config import Settings
 from loomdex.functions import cleaning
 from loomdex.operators import chunking, evaluation, store, structure
 from loomdex.operators.graph import connected_components
@@ -141,6 +143,25 @@ def test_index_is_incremental(spark, tmp_path):
     assert {r["status"] for r in ix.manifest.read().collect()} == {"done", "error"}
 
 
+def test_index_takes_more_files_than_the_report(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for i in range(2):
+        (docs / f"old{i}.txt").write_text(f"Words {i} about batteries and fans of the enclosure. " * 20)
+        os.utime(docs / f"old{i}.txt", (1_000 + i, 1_000 + i))
+    ix, two = Index(spark, f"file://{tmp_path}/index"), Settings(newest_per_root=2)
+    assert run(ix, [str(docs)], two)["new"] == 2
+    for i in range(3):
+        (docs / f"new{i}.txt").write_text(f"Words {i} about quotas and trees of the pool. " * 20)
+    assert run(ix, [str(docs)], two) == {"new": 3, "updated": 0, "failed": 0, "removed": 0, "skipped": 2}
+    assert ix.chunks.read().select("file_path").distinct().count() == 5
+    (docs / "old0.txt").unlink()
+    assert run(ix, [str(docs)], two) == {"new": 0, "updated": 0, "failed": 0, "removed": 1, "skipped": 4}
+    for i in range(501):
+        (docs / f"more{i}.txt").write_text("x")
+    assert files.scan(spark, [str(docs)]).count() == 505
+
+
 def test_store(spark, tmp_path):
     t = store.Table(spark, f"file://{tmp_path}/t", "k string, v int")
     assert t.read().count() == 0
