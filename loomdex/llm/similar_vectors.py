@@ -3,7 +3,8 @@
 Vectors of one direction, bit for bit, are one node. Nodes are dealt into shards by the nearest of a set of centres; a shard holds a
 directed graph that starts at random and is rebuilt by batches: a greedy beam search from the node nearest to the mean proposes neighbours, and pruning
 keeps a candidate only if no kept one is nearer to it, by the factor ``alpha``, than the node itself. Each vector is then searched by beam search
-in the shards of its ``visits`` nearest centres. A search by threshold goes on from every hit to its neighbours until no new hit turns up.
+in the shards of its ``visits`` nearest centres; for a top k, whose neighbours may be far, in at least twice as many and in twice the root of the
+number of centres, as the neighbours are spread over more shards where there are more. A search by threshold goes on from every hit to its neighbours until no new hit turns up.
 Similarities are cosines of the vectors themselves, so an answer may lack a pair but never holds a wrong one.
 
 Shards with more than ``shard_rows`` nodes are cut by a hash, and every search of the shard visits all its cuts; searches come in blocks
@@ -294,7 +295,8 @@ class SimilarVectors:
     def top(self, k: int, every: int = 50, visits: int | None = None) -> DataFrame:
         """(id, neighbour, rank, similarity): the k nearest of each vector whose id is divisible by ``every``, copies included."""
         asked = self.named.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "h1", "h2").join(self.nodes, ["h1", "h2"])
-        hits = self._searched(asked.select("node", "v").distinct(), visits or 2 * self.visits, k, None)
+        most = visits or max(2 * self.visits, math.ceil(2 * math.sqrt(len(self.centres))))
+        hits = self._searched(asked.select("node", "v").distinct(), most, k, None)
         m = self.members()
         hits = hits.unionByName(asked.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("similarity")).distinct())
         w0 = Window.partitionBy("node").orderBy("id")

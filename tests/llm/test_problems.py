@@ -74,6 +74,21 @@ def test_similar_vectors_against_brute_force(spark):
     assert recall >= 0.9
 
 
+def test_top_over_many_shards(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(1500, 10)) @ rng.normal(size=(10, 64))).astype(np.float32)
+    u = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    index = similar_vectors.SimilarVectors(similar_vectors.usable(df), shard_rows=20)
+    assert len(index.centres) == 150
+    top = defaultdict(set)
+    for r in index.top(10).collect():
+        top[r["id"]].add(r["neighbour"])
+    assert np.mean([len(top[q] & set(np.argsort(-s[q])[:10])) / 10 for q in range(0, 1500, 50)]) >= 0.95
+
+
 def test_graph_of_one_and_of_copies(spark):
     assert similar_vectors.Graph(np.ones((1, 64), np.float32) / 8).search(np.ones((1, 64), np.float32) / 8, 4, threshold=0.9)[2][0][1].tolist() == [0]
     df = spark.createDataFrame([(i, [1.0] * 64) for i in range(40)], "vec_id bigint, embedding array<float>")
