@@ -1,8 +1,8 @@
 """Problem 6: records that are the same but for small edits.
 
 Every record is read once into the set of its word shingles; records with equal sets are one class from then on, so that a
-third of all rows being copies costs nothing. A class has a MinHash signature of 100 bytes. Twenty bands of five propose
-pairs, and a pair is compared five values at a time: as soon as the posterior probability that its similarity reaches the
+third of all rows being copies costs nothing. A class has a MinHash signature of 100 bytes. Pairs are proposed by an exact prefix filter: of n shingles the n - ceil(t n) + 1 rarest, and two sets of a similarity of at least t
+share one of theirs. Rarity is by counts of a bounded sample and then by the hash; any one order is exact. A pair is compared five values at a time: as soon as the posterior probability that its similarity reaches the
 threshold (uniform prior, binomial likelihood, eight-bit collisions included) falls below the tolerance it is dropped. What
 is left is verified by the exact Jaccard similarity of the shingle sets. Buckets are cut into blocks, and every pair of blocks of
 a bucket is a group of its own: no task holds more than two blocks, no pair is left out, and only survivors are emitted.
@@ -26,8 +26,8 @@ from loomdex.llm.words import mix, shingles, word_hashes, words
 from loomdex.operators.graph import connected_components
 from loomdex.session import cut
 
-BANDS, ROWS = 20, 5
-HASHES = BANDS * ROWS
+HASHES, ROWS = 100, 5
+SAMPLE = 20_000
 BLOCK = 128
 
 
@@ -45,8 +45,22 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _describe(size: int):
-    schema = pa.schema([("id", pa.string()), ("fp", pa.binary()), ("sig", pa.binary())])
+def _common(texts: list[str], size: int) -> np.ndarray:
+    """How many of the texts' shingles fall into each of 65,536 classes of hashes."""
+    out = np.zeros(1 << 16, dtype=np.int64)
+    for t in texts:
+        np.add.at(out, (np.unique(shingles(word_hashes(words(t)), size)) >> np.uint64(48)).astype(np.int64), 1)
+    return out
+
+
+def prefix(s: np.ndarray, threshold: float, common: np.ndarray) -> np.ndarray:
+    """The rarest of the distinct shingles, so many that a set of a similarity of at least the threshold shares one of its own."""
+    order = np.lexsort((s, common[(s >> np.uint64(48)).astype(np.int64)]))
+    return s[order[: len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1]]
+
+
+def _describe(size: int, threshold: float, common: np.ndarray):
+    schema = pa.schema([("id", pa.string()), ("fp", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,7 +71,8 @@ def _describe(size: int):
                     continue
                 sig = _signatures(sets)
                 fps = [mix(s).sum(dtype=np.uint64).tobytes() + mix(s + np.uint64(1)).sum(dtype=np.uint64).tobytes() for s in sets]
-                yield pa.record_batch([part.column(0), pa.array(fps, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], schema=schema)
+                keys = pa.array([prefix(s, threshold, common).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.record_batch([part.column(0), pa.array(fps, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), keys], schema=schema)
 
     return run
 
@@ -122,13 +137,14 @@ def _survivors(threshold: float, tolerance: float):
 class NearDuplicates:
     """Steps of the join. ``records`` has the columns id (string) and text; all else is ignored."""
 
-    def __init__(self, records: DataFrame, threshold: float = 0.8, size: int = 5, tolerance: float = 1e-4, block: int = BLOCK):
+    def __init__(self, records: DataFrame, threshold: float = 0.8, size: int = 5, tolerance: float = 1e-7, block: int = BLOCK):
         self.records = records.select(F.col("id").cast("string").alias("id"), "text").where("id is not null and text is not null")
         self.threshold, self.size, self.tolerance, self.block = threshold, size, tolerance, block
-        described = self.records.mapInArrow(_describe(size), "id string, fp binary, sig binary")
+        common = _common([r["text"] for r in self.records.select("text").limit(SAMPLE).collect()], size)
+        described = self.records.mapInArrow(_describe(size, threshold, common), "id string, fp binary, sig binary, keys array<long>")
         self.described = cut(described)
         #: class -> its least id, which stands for it
-        self.classes = self.described.groupBy("fp").agg(F.min(F.struct("id", "sig")).alias("r")).select("fp", F.col("r.id").alias("id"), F.col("r.sig").alias("sig"))
+        self.classes = self.described.groupBy("fp").agg(F.min(F.struct("id", "sig", "keys")).alias("r")).select("fp", F.col("r.id").alias("id"), F.col("r.sig").alias("sig"), F.col("r.keys").alias("keys"))
 
     def members(self) -> DataFrame:
         """(id, class): the class is named by its least id."""
@@ -137,8 +153,7 @@ class NearDuplicates:
 
     def candidates(self) -> DataFrame:
         """(a, b) of classes, a < b, that pass the pruning."""
-        keys = [F.xxhash64(F.lit(k), F.substring("sig", k * ROWS + 1, ROWS)) for k in range(BANDS)]
-        bands = self.classes.select(F.xxhash64("id").alias("rid"), F.explode(F.array(*keys)).alias("key"))
+        bands = self.classes.select(F.xxhash64("id").alias("rid"), F.explode("keys").alias("key"))
         w = Window.partitionBy("key").orderBy("rid")
         counted = bands.select("rid", "key", F.row_number().over(w).alias("rn"), F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
         shared = counted.where("n > 1").select("rid", "key", F.floor((F.col("rn") - 1) / self.block).alias("block"), F.floor((F.col("n") - 1) / self.block).alias("last"))

@@ -190,6 +190,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert set(groups) == set(sets) and all(groups[a] == groups[b] for a, b in got)
 
 
+def test_pairs_at_the_threshold_are_all_proposed(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(400):  # 17 and 17 words of one order, 14 + 3 and 14 + 3: 14 of 20 in common
+        w = [f"w{rng.randrange(10**9)}" for _ in range(20)]
+        texts += [" ".join(w[:17]), " ".join(w[:14] + w[17:])]
+    df = spark.createDataFrame([(f"r{i:03}", t) for i, t in enumerate(texts)], "id string, text string")
+    got = {tuple(r) for r in near_duplicates.NearDuplicates(df, 0.7, 1).pairs().collect()}
+    assert got == {(f"r{i:03}", f"r{i + 1:03}") for i in range(0, 800, 2)}
+
+
 def test_pruning_table():
     need = near_duplicates.least_matches(0.7, 1e-4, range(5, 101, 5))
     assert all(need[n] <= 0.7 * n for n in need) and need[100] > 40 and sorted(need.values()) == list(need.values())
