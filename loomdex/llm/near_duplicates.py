@@ -1,11 +1,14 @@
 """Problem 6: records that are the same but for small edits.
 
 Every record is read once into the set of its word shingles; records with equal sets are one class from then on, so that a
-third of all rows being copies costs nothing. A class has a MinHash signature of 100 bytes. Pairs are proposed by an exact prefix filter: of n shingles the n - ceil(t n) + 1 rarest, and two sets of a similarity of at least t
-share one of theirs. Rarity is by counts of a bounded sample and then by the hash; any one order is exact. A pair is compared five values at a time: as soon as the posterior probability that its similarity reaches the
+third of all rows being copies costs nothing. A class has a MinHash signature of 90 values of 16 bits, in 30 bands of three; classes that agree in a band are
+candidates, which 3 pairs in a million at a similarity of exactly 0.7 aren't. A band value that more than ``crowd`` classes have is crowded. A pair whose common bands
+are all crowded has two of them but for 6 in 100,000 at 0.7, so crowded values are replaced by the pairs of crowded values of each class (at most 435), and
+what is still large is cut into blocks whose pairs are groups of their own: no task holds more than two blocks.
+
+A candidate pair is dropped if the sizes of its sets rule the threshold out. Else it is compared three values at a time: as soon as the posterior probability that its similarity reaches the
 threshold (uniform prior, binomial likelihood, eight-bit collisions included) falls below the tolerance it is dropped. What
-is left is verified by the exact Jaccard similarity of the shingle sets. Buckets are cut into blocks, and every pair of blocks of
-a bucket is a group of its own: no task holds more than two blocks, no pair is left out, and only survivors are emitted.
+is left is verified by the exact Jaccard similarity of the shingle sets. Only survivors are emitted.
 
 Defined cases: null text is no record; a text with fewer words than a shingle has one shingle, all of its words (so texts without
 any word are equal); repeated rows of one id count once; empty tables give empty results; other columns are not read.
@@ -26,41 +29,29 @@ from loomdex.llm.words import mix, shingles, word_hashes, words
 from loomdex.operators.graph import connected_components
 from loomdex.session import cut
 
-HASHES, ROWS = 100, 5
-SAMPLE = 20_000
+HASHES, ROWS = 90, 3
+BANDS = HASHES // ROWS
 BLOCK = 128
+#: So many ids of candidates are sent to all tasks, as 64-bit hashes; more are joined by shuffle.
+FEW = 500_000
 
 
 def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(n, HASHES) bytes."""
+    """(n, 2 * HASHES) bytes: the low bytes of all values, then the high ones."""
     rng = np.random.default_rng(20240229)
     a = rng.integers(0, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 2**63, HASHES, dtype=np.uint64)
     every = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), HASHES), dtype=np.uint8)
+    out = np.empty((len(sets), 2 * HASHES), dtype=np.uint8)
     for i in range(HASHES):
-        least = np.minimum.reduceat((every * a[i] + b[i]) >> np.uint64(32), starts)
-        out[:, i] = (least * np.uint64(0x9E3779B1) >> np.uint64(13)).astype(np.uint8)
-    return out
-
-
-def _common(texts: list[str], size: int) -> np.ndarray:
-    """How many of the texts' shingles fall into each of 65,536 classes of hashes."""
-    out = np.zeros(1 << 16, dtype=np.int64)
-    for t in texts:
-        np.add.at(out, (np.unique(shingles(word_hashes(words(t)), size)) >> np.uint64(48)).astype(np.int64), 1)
+        least = np.minimum.reduceat((every * a[i] + b[i]) >> np.uint64(32), starts) * np.uint64(0x9E3779B1) >> np.uint64(13)
+        out[:, i], out[:, HASHES + i] = least.astype(np.uint8), (least >> np.uint64(8)).astype(np.uint8)
     return out
 
 
-def prefix(s: np.ndarray, threshold: float, common: np.ndarray) -> np.ndarray:
-    """The rarest of the distinct shingles, so many that a set of a similarity of at least the threshold shares one of its own."""
-    order = np.lexsort((s, common[(s >> np.uint64(48)).astype(np.int64)]))
-    return s[order[: len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1]]
-
-
-def _describe(size: int, threshold: float, common: np.ndarray):
-    schema = pa.schema([("id", pa.string()), ("fp", pa.binary()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+def _describe(size: int):
+    schema = pa.schema([("id", pa.string()), ("fp", pa.binary()), ("n", pa.int32()), ("low", pa.binary()), ("high", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,8 +62,8 @@ def _describe(size: int, threshold: float, common: np.ndarray):
                     continue
                 sig = _signatures(sets)
                 fps = [mix(s).sum(dtype=np.uint64).tobytes() + mix(s + np.uint64(1)).sum(dtype=np.uint64).tobytes() for s in sets]
-                keys = pa.array([prefix(s, threshold, common).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.record_batch([part.column(0), pa.array(fps, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), keys], schema=schema)
+                halves = [pa.array([x.tobytes() for x in half], pa.binary()) for half in (sig[:, :HASHES], sig[:, HASHES:])]
+                yield pa.record_batch([part.column(0), pa.array(fps, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), *halves], schema=schema)
 
     return run
 
@@ -94,42 +85,40 @@ def least_matches(threshold: float, tolerance: float, steps: range) -> dict[int,
     return out
 
 
-def _survivors(threshold: float, tolerance: float):
+def _survivors(threshold: float, tolerance: float, at_once: int = 500_000):
     need = least_matches(threshold, tolerance, range(ROWS, HASHES + 1, ROWS))
 
-    def kept(ids: list[str], sigs: list[bytes], pairs: list[np.ndarray]) -> pd.DataFrame:
+    def kept(sig: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the pairs of positions those that pass, compared ROWS values at a time, all together."""
-        a, b = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
-        sig = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(len(ids), HASHES)
+        fits = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9
+        a, b = a[fits], b[fits]
         seen = np.zeros(len(a), dtype=np.int16)
-        for n in range(ROWS, HASHES + 1, ROWS):
-            seen += (sig[a, n - ROWS : n] == sig[b, n - ROWS : n]).sum(1, dtype=np.int16)
-            keep = seen >= need[n]
+        for k in range(ROWS, HASHES + 1, ROWS):
+            seen += (sig[a, k - ROWS : k] == sig[b, k - ROWS : k]).sum(1, dtype=np.int16)
+            keep = seen >= need[k]
             if not keep.all():
                 a, b, seen = a[keep], b[keep], seen[keep]
-        found = [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        return pd.DataFrame({"a": pd.Series([f[0] for f in found], dtype=str), "b": pd.Series([f[1] for f in found], dtype=str)})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ids, sigs, pairs, waiting = [], [], [], 0
-            for own, other, members in zip(frame["i"], frame["j"], frame["members"], strict=True):
-                at = len(ids)
-                ids += [m["id"] for m in members]
-                sigs += [m["sig"] for m in members]
-                if len(members) == 2:
-                    pairs.append(np.array([[at], [at + 1]]))
-                else:
-                    two = np.stack(np.triu_indices(len(members), 1))
-                    if own != other:
-                        blocks = np.array([m["block"] for m in members])
-                        two = two[:, blocks[two[0]] != blocks[two[1]]]
-                    pairs.append(two + at)
-                waiting += pairs[-1].shape[1]
-                if waiting > 500_000:
-                    yield kept(ids, sigs, pairs)
-                    ids, sigs, pairs, waiting = [], [], [], 0
-            yield kept(ids, sigs, pairs)
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            starts, sizes, members = ends[:-1] - ends[0], np.diff(ends), lists.flatten()
+            mixed, ids = batch.column(0).to_numpy(zero_copy_only=False), members.field("id")
+            block, n = members.field("block").to_numpy(zero_copy_only=False), members.field("n").to_numpy(zero_copy_only=False)
+            sig = np.frombuffer(b"".join(members.field("low").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+            for m in np.unique(sizes[sizes > 1]).tolist():
+                x, y = np.triu_indices(m, 1)
+                groups = np.flatnonzero(sizes == m)
+                step = max(1, at_once // len(x))
+                for at in range(0, len(groups), step):
+                    own = groups[at : at + step]
+                    a, b = ((starts[own][:, None] + side[None]).ravel() for side in (x, y))
+                    apart = ~np.repeat(mixed[own], len(x)) | (block[a] != block[b])  # pairs within a block have their own group
+                    a, b = kept(sig, n, a[apart], b[apart])
+                    if len(a):
+                        yield pa.record_batch([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["x", "y"])
 
     return run
 
@@ -137,36 +126,47 @@ def _survivors(threshold: float, tolerance: float):
 class NearDuplicates:
     """Steps of the join. ``records`` has the columns id (string) and text; all else is ignored."""
 
-    def __init__(self, records: DataFrame, threshold: float = 0.8, size: int = 5, tolerance: float = 1e-7, block: int = BLOCK):
+    def __init__(self, records: DataFrame, threshold: float = 0.8, size: int = 5, tolerance: float = 1e-7, block: int = BLOCK, crowd: int = 64):
         self.records = records.select(F.col("id").cast("string").alias("id"), "text").where("id is not null and text is not null")
-        self.threshold, self.size, self.tolerance, self.block = threshold, size, tolerance, block
-        common = _common([r["text"] for r in self.records.select("text").limit(SAMPLE).collect()], size)
-        described = self.records.mapInArrow(_describe(size, threshold, common), "id string, fp binary, sig binary, keys array<long>")
-        self.described = cut(described)
+        self.threshold, self.size, self.tolerance, self.block, self.crowd = threshold, size, tolerance, block, crowd
+        self.described = cut(self.records.mapInArrow(_describe(size), "id string, fp binary, n int, low binary, high binary"))
         #: class -> its least id, which stands for it
-        self.classes = self.described.groupBy("fp").agg(F.min(F.struct("id", "sig", "keys")).alias("r")).select("fp", F.col("r.id").alias("id"), F.col("r.sig").alias("sig"), F.col("r.keys").alias("keys"))
+        one = self.described.groupBy("fp").agg(F.min(F.struct("id", "n", "low", "high")).alias("r"))
+        self.classes = one.select(F.xxhash64("fp").alias("rid"), F.col("r.id").alias("id"), F.col("r.n").alias("n"), F.col("r.low").alias("low"), F.col("r.high").alias("high"))
 
     def members(self) -> DataFrame:
         """(id, class): the class is named by its least id."""
         ids = self.described.select("fp", "id").distinct()
         return ids.join(self.described.groupBy("fp").agg(F.min("id").alias("class")), "fp").select("id", "class")
 
+    @staticmethod
+    def _shared(keys: DataFrame) -> DataFrame:
+        """(rid, key, rn, of): the rows of keys that more than one class has, numbered. One task sorts the rows of a key, and spills them where they are many."""
+        w = Window.partitionBy("key").orderBy("rid")
+        every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return keys.select("rid", "key", F.row_number().over(w).alias("rn"), F.count(F.lit(1)).over(every).alias("of")).where(F.col("of") > 1)
+
     def candidates(self) -> DataFrame:
         """(a, b) of classes, a < b, that pass the pruning."""
-        bands = self.classes.select(F.xxhash64("id").alias("rid"), F.explode("keys").alias("key"))
-        w = Window.partitionBy("key").orderBy("rid")
-        counted = bands.select("rid", "key", F.row_number().over(w).alias("rn"), F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
-        shared = counted.where("n > 1").select("rid", "key", F.floor((F.col("rn") - 1) / self.block).alias("block"), F.floor((F.col("n") - 1) / self.block).alias("last"))
-        own = self.classes.select(F.xxhash64("id").alias("rid"), "id", "sig")
-        placed = shared.join(own, "rid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-        groups = placed.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("id", "block", "sig")).alias("members"))
-        return groups.select("i", "j", "members").mapInPandas(_survivors(self.threshold, self.tolerance), "a string, b string").distinct()
+        band = lambda half, i: F.substring(half, ROWS * i + 1, ROWS)
+        keys = F.array(*[F.xxhash64(F.lit(i), band("low", i), band("high", i)) for i in range(BANDS)])
+        shared = cut(self._shared(self.classes.select("rid", F.explode(keys).alias("key"))))
+        few = shared.where(F.col("of") <= self.crowd).select("rid", "key", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("last"))
+        crowded = shared.where(F.col("of") > self.crowd).groupBy("rid").agg(F.sort_array(F.collect_list("key")).alias("ks"))  # at most BANDS
+        two = F.flatten(F.transform("ks", lambda k, i: F.transform(F.slice("ks", i + 2, F.lit(BANDS)), lambda m: F.xxhash64(k, m))))
+        again = self._shared(crowded.select("rid", F.explode(two).alias("key")))
+        many = again.select("rid", "key", F.floor((F.col("rn") - 1) / self.block).alias("block"), F.floor((F.col("of") - 1) / self.block).alias("last"))
+        placed = few.unionByName(many).join(self.classes.select("rid", "id", "n", "low"), "rid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+        groups = placed.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("id", "block", "n", "low")).alias("members"))
+        pairs = groups.select((F.col("i") != F.col("j")).alias("mixed"), "members").mapInArrow(_survivors(self.threshold, self.tolerance), "x string, y string")
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def links(self) -> DataFrame:
         """(a, b, similarity) of classes, a < b, with an exact similarity of at least the threshold."""
         pairs = cut(self.candidates())
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = self.records.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.xxhash64("id").alias("h")).distinct()
+        wanted = F.broadcast(wanted) if pairs.count() <= FEW // 2 else wanted
+        texts = self.records.withColumn("h", F.xxhash64("id")).join(wanted, "h", "left_semi").select("id", "text").dropDuplicates(["id"])
         size = self.size
 
         @F.pandas_udf("double")

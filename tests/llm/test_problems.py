@@ -180,7 +180,7 @@ def test_near_duplicates_against_brute_force(spark):
     texts += ["one two"] * 3 + ["", "***", None]
     df = spark.createDataFrame([(f"r{i:03}", t, 1) for i, t in enumerate(texts)], "id string, text string, sig int")
     df = df.unionByName(df.limit(5))
-    nd = near_duplicates.NearDuplicates(df, 0.7, 3, block=4)
+    nd = near_duplicates.NearDuplicates(df, 0.7, 3, block=4, crowd=3)
     sets = {f"r{i:03}": set(shingles(word_hashes(words(t)), 3).tolist()) for i, t in enumerate(texts) if t is not None}
     true = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7}
     got = {tuple(r) for r in nd.pairs().collect()}
