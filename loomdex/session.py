@@ -36,8 +36,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder; it survives the loss of any executor."""
+    """Materialise ``df`` in the shared checkpoint folder; it survives the loss of any executor.
+
+    Spark deletes the shuffle files of a finished query once the driver's collector has found that nothing refers to them; it is asked to look before the
+    next step writes its own, or the disks hold the files of all steps at once."""
     checkpoint_dir(df.sparkSession)
+    df.sparkSession._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
