@@ -1,13 +1,13 @@
 """Problem 6: records that are the same but for small edits.
 
 Every record is read once into the set of its word shingles; records with equal sets are one class from then on, so that a
-third of all rows being copies costs nothing. A class has a MinHash signature of 90 values of 16 bits, in 30 bands of three; classes that agree in a band are
-candidates, which 3 pairs in a million at a similarity of exactly 0.7 aren't. A band value that more than ``crowd`` classes have is crowded. A pair whose common bands
-are all crowded has two of them but for 6 in 100,000 at 0.7, so crowded values are replaced by the pairs of crowded values of each class (at most 435), and
+third of all rows being copies costs nothing. A class has a MinHash signature of 84 values of 13 bits, in 28 bands of three; classes that agree in a band are
+candidates, which 8 pairs in a million at a similarity of exactly 0.7 aren't. A band value that more than ``crowd`` classes have is crowded. A pair whose common bands
+are all crowded has two of them but for 1.2 in 10,000 at 0.7, so crowded values are replaced by the pairs of crowded values of each class (at most 378), and
 what is still large is cut into blocks whose pairs are groups of their own: no task holds more than two blocks.
 
 A candidate pair is dropped if the sizes of its sets rule the threshold out. Else it is compared three values at a time: as soon as the posterior probability that its similarity reaches the
-threshold (uniform prior, binomial likelihood, eight-bit collisions included) falls below the tolerance it is dropped. What
+threshold (uniform prior, binomial likelihood, collisions of five bits included) falls below the tolerance it is dropped. What
 is left is verified by the exact Jaccard similarity of the shingle sets. Only survivors are emitted.
 
 Defined cases: null text is no record; a text with fewer words than a shingle has one shingle, all of its words (so texts without
@@ -25,29 +25,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomdex.llm.words import mix, shingles, word_hashes, words
+from loomdex.llm.words import mix, shingle_sets, shingles, word_hashes, words
 from loomdex.operators.graph import connected_components
 from loomdex.session import cut
 
-HASHES, ROWS = 90, 3
+HASHES, ROWS = 84, 3
 BANDS = HASHES // ROWS
 BLOCK = 128
 #: So many ids of candidates are sent to all tasks, as 64-bit hashes; more are joined by shuffle.
 FEW = 500_000
 
 
-def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(n, 2 * HASHES) bytes: the low bytes of all values, then the high ones."""
+def _signatures(every: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n, BANDS) of three values of five bits, and (n, HASHES) of eight bits more of each."""
     rng = np.random.default_rng(20240229)
     a = rng.integers(0, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 2**63, HASHES, dtype=np.uint64)
-    every = np.concatenate(sets)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), 2 * HASHES), dtype=np.uint8)
+    low, high = np.zeros((len(starts), BANDS), dtype="<u2"), np.empty((len(starts), HASHES), dtype=np.uint8)
     for i in range(HASHES):
         least = np.minimum.reduceat((every * a[i] + b[i]) >> np.uint64(32), starts) * np.uint64(0x9E3779B1) >> np.uint64(13)
-        out[:, i], out[:, HASHES + i] = least.astype(np.uint8), (least >> np.uint64(8)).astype(np.uint8)
-    return out
+        low[:, i // ROWS] |= ((least & np.uint64(31)) << np.uint64(5 * (i % ROWS))).astype("<u2")
+        high[:, i] = (least >> np.uint64(5)).astype(np.uint8)
+    return low, high
 
 
 def _describe(size: int):
@@ -57,13 +56,13 @@ def _describe(size: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [np.unique(shingles(word_hashes(words(t)), size)) for t in part.column(1).to_pylist()]
-                if not sets:
+                if not part.num_rows:
                     continue
-                sig = _signatures(sets)
-                fps = [mix(s).sum(dtype=np.uint64).tobytes() + mix(s + np.uint64(1)).sum(dtype=np.uint64).tobytes() for s in sets]
-                halves = [pa.array([x.tobytes() for x in half], pa.binary()) for half in (sig[:, :HASHES], sig[:, HASHES:])]
-                yield pa.record_batch([part.column(0), pa.array(fps, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), *halves], schema=schema)
+                every, starts = shingle_sets(part.column(1).to_pylist(), size)
+                prints = np.stack([np.add.reduceat(mix(every + np.uint64(k)), starts) for k in (0, 1)], axis=1)
+                rows = [pa.array([x.tobytes() for x in m], pa.binary()) for m in (prints, *_signatures(every, starts))]
+                n = np.diff(np.append(starts, len(every))).astype(np.int32)
+                yield pa.record_batch([part.column(0), rows[0], pa.array(n), rows[1], rows[2]], schema=schema)
 
     return run
 
@@ -71,7 +70,7 @@ def _describe(size: int):
 def least_matches(threshold: float, tolerance: float, steps: range) -> dict[int, int]:
     """For n values compared, the fewest matches at which P(similarity >= threshold) is at least ``tolerance``."""
     s = (np.arange(4000) + 0.5) / 4000
-    p = np.log(s + (1 - s) / 256), np.log1p(-(s + (1 - s) / 256))
+    p = np.log(s + (1 - s) / 32), np.log1p(-(s + (1 - s) / 32))
     out = {}
     for n in steps:
         for m in range(n + 1):
@@ -94,7 +93,8 @@ def _survivors(threshold: float, tolerance: float, at_once: int = 500_000):
         a, b = a[fits], b[fits]
         seen = np.zeros(len(a), dtype=np.int16)
         for k in range(ROWS, HASHES + 1, ROWS):
-            seen += (sig[a, k - ROWS : k] == sig[b, k - ROWS : k]).sum(1, dtype=np.int16)
+            x = sig[a, k // ROWS - 1] ^ sig[b, k // ROWS - 1]
+            seen += ((x & 31) == 0).astype(np.int16) + ((x & 992) == 0) + ((x & 31744) == 0)
             keep = seen >= need[k]
             if not keep.all():
                 a, b, seen = a[keep], b[keep], seen[keep]
@@ -105,9 +105,9 @@ def _survivors(threshold: float, tolerance: float, at_once: int = 500_000):
             lists = batch.column(1)
             ends = lists.offsets.to_numpy().astype(np.int64)
             starts, sizes, members = ends[:-1] - ends[0], np.diff(ends), lists.flatten()
-            mixed, ids = batch.column(0).to_numpy(zero_copy_only=False), members.field("id")
-            block, n = members.field("block").to_numpy(zero_copy_only=False), members.field("n").to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(members.field("low").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+            mixed = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, block, n = (members.field(c).to_numpy(zero_copy_only=False) for c in ("rid", "block", "n"))
+            sig = np.frombuffer(b"".join(members.field("low").to_pylist()), dtype="<u2").reshape(-1, BANDS)
             for m in np.unique(sizes[sizes > 1]).tolist():
                 x, y = np.triu_indices(m, 1)
                 groups = np.flatnonzero(sizes == m)
@@ -118,7 +118,7 @@ def _survivors(threshold: float, tolerance: float, at_once: int = 500_000):
                     apart = ~np.repeat(mixed[own], len(x)) | (block[a] != block[b])  # pairs within a block have their own group
                     a, b = kept(sig, n, a[apart], b[apart])
                     if len(a):
-                        yield pa.record_batch([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["x", "y"])
+                        yield pa.record_batch([pa.array(ids[a]), pa.array(ids[b])], names=["x", "y"])
 
     return run
 
@@ -132,12 +132,12 @@ class NearDuplicates:
         self.described = cut(self.records.mapInArrow(_describe(size), "id string, fp binary, n int, low binary, high binary"))
         #: class -> its least id, which stands for it
         one = self.described.groupBy("fp").agg(F.min(F.struct("id", "n", "low", "high")).alias("r"))
-        self.classes = one.select(F.xxhash64("fp").alias("rid"), F.col("r.id").alias("id"), F.col("r.n").alias("n"), F.col("r.low").alias("low"), F.col("r.high").alias("high"))
+        self.classes = cut(one.select(F.xxhash64("fp").alias("rid"), "r.*"))
 
     def members(self) -> DataFrame:
         """(id, class): the class is named by its least id."""
-        ids = self.described.select("fp", "id").distinct()
-        return ids.join(self.described.groupBy("fp").agg(F.min("id").alias("class")), "fp").select("id", "class")
+        ids = self.described.select(F.xxhash64("fp").alias("rid"), "id").distinct()
+        return ids.join(self.classes.select("rid", F.col("id").alias("class")), "rid").select("id", "class")
 
     @staticmethod
     def _shared(keys: DataFrame) -> DataFrame:
@@ -148,18 +148,20 @@ class NearDuplicates:
 
     def candidates(self) -> DataFrame:
         """(a, b) of classes, a < b, that pass the pruning."""
-        band = lambda half, i: F.substring(half, ROWS * i + 1, ROWS)
-        keys = F.array(*[F.xxhash64(F.lit(i), band("low", i), band("high", i)) for i in range(BANDS)])
+        keys = F.array(*[F.xxhash64(F.lit(i), F.substring("low", 2 * i + 1, 2), F.substring("high", ROWS * i + 1, ROWS)) for i in range(BANDS)])
         shared = cut(self._shared(self.classes.select("rid", F.explode(keys).alias("key"))))
         few = shared.where(F.col("of") <= self.crowd).select("rid", "key", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("last"))
         crowded = shared.where(F.col("of") > self.crowd).groupBy("rid").agg(F.sort_array(F.collect_list("key")).alias("ks"))  # at most BANDS
         two = F.flatten(F.transform("ks", lambda k, i: F.transform(F.slice("ks", i + 2, F.lit(BANDS)), lambda m: F.xxhash64(k, m))))
         again = self._shared(crowded.select("rid", F.explode(two).alias("key")))
         many = again.select("rid", "key", F.floor((F.col("rn") - 1) / self.block).alias("block"), F.floor((F.col("of") - 1) / self.block).alias("last"))
-        placed = few.unionByName(many).join(self.classes.select("rid", "id", "n", "low"), "rid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-        groups = placed.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("id", "block", "n", "low")).alias("members"))
-        pairs = groups.select((F.col("i") != F.col("j")).alias("mixed"), "members").mapInArrow(_survivors(self.threshold, self.tolerance), "x string, y string")
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        placed = few.unionByName(many).join(self.classes.select("rid", "n", "low"), "rid").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+        groups = placed.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("rid", "block", "n", "low")).alias("members"))
+        pairs = groups.select((F.col("i") != F.col("j")).alias("mixed"), "members").mapInArrow(_survivors(self.threshold, self.tolerance), "x long, y long")
+        left = cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        names = self.classes.select("rid", "id")
+        named = left.join(names.select(F.col("rid").alias("x"), F.col("id").alias("u")), "x").join(names.select(F.col("rid").alias("y"), F.col("id").alias("v")), "y")
+        return named.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a < b")
 
     def links(self) -> DataFrame:
         """(a, b, similarity) of classes, a < b, with an exact similarity of at least the threshold."""

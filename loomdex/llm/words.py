@@ -54,3 +54,25 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     for i in range(size):
         acc = mix(acc * _STEP + h[i : len(h) - size + 1 + i])
     return acc
+
+
+def shingle_sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, sorted, one text after the other, and where each text's begin. Every text has one at least."""
+    found = [words(t) for t in texts]
+    lengths = np.array([len(f) for f in found], dtype=np.int64)
+    h = word_hashes([w for f in found for w in f])
+    doc = np.repeat(np.arange(len(texts)), lengths)
+    ends = np.cumsum(lengths)
+    places = np.flatnonzero(np.arange(len(h)) + size <= ends[doc])
+    acc = np.full(len(places), size, dtype=np.uint64)
+    for i in range(size):
+        acc = mix(acc * _STEP + h[places + i])
+    short = np.flatnonzero(lengths < size)
+    few = [shingles(h[ends[i] - lengths[i] : ends[i]], size)[0] for i in short.tolist()]
+    values, owner = np.concatenate([acc, np.array(few, dtype=np.uint64)]), np.concatenate([doc[places], short])
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    values, owner = values[new], owner[new]
+    return values, np.searchsorted(owner, np.arange(len(texts)))
