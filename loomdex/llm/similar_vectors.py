@@ -1,7 +1,7 @@
 """Problem 2: the most similar vectors for every vector.
 
 Vectors of one direction, bit for bit, are one node. Nodes are dealt into shards by the nearest of a set of centres; a shard holds a
-directed graph that starts at random and is rebuilt by batches: a greedy beam search from the node nearest to the mean proposes neighbours, and pruning
+directed graph that starts at random and is rebuilt by batches, once or more: a greedy beam search from the node nearest to the mean proposes neighbours, and pruning
 keeps a candidate only if no kept one is nearer to it, by the factor ``alpha``, than the node itself. Each vector is then searched by beam search
 in the shards of its ``visits`` nearest centres; for a top k, whose neighbours may be far, in at least twice as many and in twice the root of the
 number of centres, as the neighbours are spread over more shards where there are more. A search by threshold goes on from every hit to its neighbours until no new hit turns up.
@@ -28,12 +28,14 @@ from pyspark.sql.window import Window
 from loomdex.session import cut
 
 DIM = 64
+#: The graph of a search by threshold, and the beam of a search that begins at its own node.
+LIGHT, NEAR = {"degree": 24, "beam": 40, "batch": 512, "passes": (1.2,)}, 12
 
 
 class Graph:
     """A robust-pruned directed graph over rows of length one."""
 
-    def __init__(self, x: np.ndarray, degree: int = 24, beam: int = 48, alpha: float = 1.2, batch: int = 256, seed: int = 1):
+    def __init__(self, x: np.ndarray, degree: int = 24, beam: int = 48, alpha: float = 1.2, batch: int = 256, seed: int = 1, passes: tuple[float, ...] = (1.0, 1.2)):
         self.x, self.degree, self.beam, self.alpha = np.ascontiguousarray(x, dtype=np.float32), degree, beam, alpha
         n, rng = len(x), np.random.default_rng(seed)
         self.n = n
@@ -48,7 +50,7 @@ class Graph:
             drawn[:, 1:][drawn[:, 1:] == drawn[:, :-1]] = n
             self.next[:n, :k] = drawn
         self.padded = np.concatenate([self.x, np.zeros((1, x.shape[1]), np.float32)])
-        for a in (1.0, alpha):
+        for a in passes:
             order = rng.permutation(n)
             for at in range(0, n, batch):
                 self._insert(order[at : at + batch], a)
@@ -197,7 +199,7 @@ def _centres(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
 class SimilarVectors:
     """``vectors`` is what usable() gives."""
 
-    def __init__(self, vectors: DataFrame, shard_rows: int = 4000, visits: int = 4, sample_rows: int = 20_000, most_centres: int = 4096, block_rows: int = 100_000):
+    def __init__(self, vectors: DataFrame, shard_rows: int = 4000, visits: int = 3, sample_rows: int = 20_000, most_centres: int = 4096, block_rows: int = 100_000):
         self.visits, self.shard_rows, self.block_rows = visits, shard_rows, block_rows
         named = vectors.select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), F.col("v")).alias("h2"))
         self.named = cut(named)
@@ -244,7 +246,8 @@ class SimilarVectors:
         return base.select(*columns, F.lit(True).alias("is_base")).unionByName(ask.select(*columns, F.lit(False).alias("is_base")))
 
     def _searched(self, queries: DataFrame, visits: int, k: int | None, threshold: float | None) -> DataFrame:
-        """(a, b, similarity): node a's hits b."""
+        """(a, b, similarity): node a's hits b. What lies within a threshold is far nearer than all else, so a lighter graph leads to it."""
+        shape = LIGHT if threshold is not None else {}
 
         def group(frame: pd.DataFrame) -> pd.DataFrame:
             base, ask = frame[frame["is_base"]].sort_values("node"), frame[~frame["is_base"]]
@@ -253,13 +256,15 @@ class SimilarVectors:
                 return empty
             x, q = (np.stack(f["v"].to_numpy()).astype(np.float32) for f in (base, ask))
             names, own = base["node"].to_numpy(), ask["node"].to_numpy()
-            graph, parts = Graph(x), []
+            graph, parts = Graph(x, **shape), []
             place = np.minimum(np.searchsorted(names, own), len(names) - 1)
             place = np.where(names[place] == own, place, len(names))
-            for at in range(0, len(q), 256):
-                part, mine = q[at : at + 256], place[at : at + 256]
+            order = np.argsort(place == len(names), kind="stable")  # nodes of the graph first: their search begins where it ends
+            own, q, place = own[order], q[order], place[order]
+            for at in range(0, len(q), 512):
+                part, mine = q[at : at + 512], place[at : at + 512]
                 if threshold is not None:
-                    _, _, hits = graph.search(part, graph.beam, threshold=threshold - 1e-3, own=mine)
+                    _, _, hits = graph.search(part, NEAR if mine[-1] < len(names) else graph.beam, threshold=threshold - 1e-3, own=mine)
                     for r, node, _ in hits:
                         parts.append((r + at, node))
                 else:
@@ -295,7 +300,7 @@ class SimilarVectors:
     def top(self, k: int, every: int = 50, visits: int | None = None) -> DataFrame:
         """(id, neighbour, rank, similarity): the k nearest of each vector whose id is divisible by ``every``, copies included."""
         asked = self.named.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "h1", "h2").join(self.nodes, ["h1", "h2"])
-        most = visits or max(2 * self.visits, math.ceil(2 * math.sqrt(len(self.centres))))
+        most = visits or max(8, math.ceil(2 * math.sqrt(len(self.centres))))
         hits = self._searched(asked.select("node", "v").distinct(), most, k, None)
         m = self.members()
         hits = hits.unionByName(asked.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("similarity")).distinct())
