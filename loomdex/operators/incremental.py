@@ -1,9 +1,9 @@
 """Processing only what is new or changed, without skips or repeats when runs fail.
 
-Every record has a sequence number inside a shard. What has been processed is kept as disjoint intervals of sequence numbers for
+Every record has a sequence number inside a shard, which it keeps. What has been processed is stored as disjoint intervals of sequence numbers for
 each shard; what is there is a set of ranges; a run subtracts the former from the latter and processes the gaps, among them
-late commits that fell into ranges already passed. Output and merged intervals become visible together, by one rename of a
-finished folder, so a run that dies leaves no trace and the next one finds the same gaps.
+late commits that fell into ranges already passed. Output and merged intervals become visible together, by the one file of a
+commit, so a run that dies leaves no trace and the next one finds the same gaps.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomdex.operators.commits import Commits
+from loomdex.session import checkpoint_dir, cut
+
 INTERVAL = "shard int, lo bigint, hi bigint"
 
 
@@ -38,17 +41,16 @@ def merge(*parts: DataFrame) -> DataFrame:
 
 
 def subtract(available: DataFrame, processed: DataFrame) -> DataFrame:
-    """The parts of ``available`` that no interval of ``processed`` covers, as disjoint intervals.
+    """The parts of ``available`` that no interval of ``processed`` covers, as disjoint, non-adjacent intervals. Either set may overlap itself.
 
     A sweep over the ends of both sets, in one window by shard; no interval is joined with another.
     """
-    a, p = merge(available), merge(processed)
 
     def ends(df: DataFrame, have: int, done: int) -> DataFrame:
         both = F.array(F.struct(F.col("lo").alias("at"), F.lit(have).alias("have"), F.lit(done).alias("done")), F.struct((F.col("hi") + 1).alias("at"), F.lit(-have).alias("have"), F.lit(-done).alias("done")))
         return df.select("shard", F.explode(both).alias("e")).select("shard", "e.*")
 
-    steps = ends(a, 1, 0).unionByName(ends(p, 0, 1)).groupBy("shard", "at").agg(F.sum("have").alias("have"), F.sum("done").alias("done"))
+    steps = ends(available, 1, 0).unionByName(ends(processed, 0, 1)).groupBy("shard", "at").agg(F.sum("have").alias("have"), F.sum("done").alias("done"))
     w = Window.partitionBy("shard").orderBy("at")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     open_ = steps.select("shard", F.col("at").alias("lo"), (F.lead("at").over(w) - 1).alias("hi"), F.sum("have").over(upto).alias("have"), F.sum("done").over(upto).alias("done"))
@@ -64,11 +66,15 @@ def inside(records: DataFrame, gaps: DataFrame) -> DataFrame:
     return swept.where(F.col("__rec") & (F.col("seq") <= F.col("__upto"))).drop("__hi", "__rec", "__upto")
 
 
-def numbered(records: DataFrame, key: Column | str, shards: int = 64) -> DataFrame:
-    """Adds shard and seq: a hash of the key, and the rank of the key inside its shard. Equal keys get one number."""
-    key = F.col(key) if isinstance(key, str) else key
-    sharded = records.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")).withColumn("__key", key)
-    return sharded.withColumn("seq", F.dense_rank().over(Window.partitionBy("shard").orderBy("__key")).cast("bigint")).drop("__key")
+#: Records that a shard holds; the number of shards follows from it.
+PER_SHARD = 500_000
+
+
+def numbered(records: DataFrame, key: str, order: list[Column], shards: int) -> DataFrame:
+    """Adds shard, from a hash of the key, and seq, the place of the record inside its shard by ``order``, which must be total. Where new records come last
+    in the order, old ones keep their numbers."""
+    sharded = records.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
+    return sharded.withColumn("seq", F.row_number().over(Window.partitionBy("shard").orderBy(*order)).cast("bigint"))
 
 
 def folded_hash(value: Column) -> Column:
@@ -77,30 +83,39 @@ def folded_hash(value: Column) -> Column:
 
 
 def latest_attempt(manifest: DataFrame) -> DataFrame:
-    """(file_path, done_hash): one row for each path, from its attempt with the greatest indexed_at; done_hash is null unless that
+    """(file_path, done_hash, at): one row for each path, from its attempt with the greatest indexed_at; done_hash is null unless that
     attempt is done and has a hash. Equal times: the attempt that is not done wins, so that no file is skipped."""
     done = F.lower(F.trim("status")) == "done"
     made = F.when(F.coalesce(done, F.lit(False)), folded_hash(F.col("file_hash")))
     order = F.struct(F.coalesce("indexed_at", F.lit(float("-inf"))).alias("at"), made.isNull().alias("open"), made.alias("done_hash"))
-    return manifest.where("file_path is not null").groupBy("file_path").agg(F.max(order).alias("last")).select("file_path", F.col("last.done_hash").alias("done_hash"))
+    return manifest.where("file_path is not null").groupBy("file_path").agg(F.max(order).alias("last")).select("file_path", F.col("last.done_hash").alias("done_hash"), F.col("last.at").alias("at"))
+
+
+def versions(scan: DataFrame, manifest: DataFrame, shards: int | None = None) -> DataFrame:
+    """(file_path, file_hash, done, shard, seq): what the scan sees, one row for each path and hash. A version that the manifest's last attempt for the path has done
+    keeps the place that the time of the attempt gives it; all others are changes and come after them."""
+    seen = scan.where("file_path is not null and file_hash is not null").select("file_path", folded_hash(F.col("file_hash")).alias("file_hash")).distinct()
+    known = seen.join(latest_attempt(manifest), "file_path", "left").withColumn("done", F.coalesce(F.col("done_hash") == F.col("file_hash"), F.lit(False)))
+    shards = shards or max(1, -(-scan.count() // PER_SHARD))
+    order = [F.when(F.col("done"), F.col("at")).asc_nulls_last(), F.col("file_path"), F.col("file_hash")]
+    return numbered(known.select("file_path", "file_hash", "done", "at"), "file_path", order, shards).drop("at")
 
 
-def files_to_index(scan: DataFrame, manifest: DataFrame, shards: int = 64) -> DataFrame:
+def files_to_index(scan: DataFrame, manifest: DataFrame, shards: int | None = None, log: IntervalLog | None = None) -> DataFrame:
     """(file_path, file_hash): what this run has to index.
 
-    The versions (path, hash) that the scan sees are numbered by shard and form the available ranges; the numbers of the versions that
-    the manifest holds as done are the processed intervals; the gaps are subtracted and read back. A path comes out once, with its
+    The versions that the scan sees are the available ranges. The numbers of those that the history has done are committed to the log as processed intervals
+    (a log of its own in the checkpoint folder, where none is given); the stored intervals are subtracted, and the gaps are read back. A path comes out once, with its
     least folded hash, if any of its versions is open.
 
     Defined cases: null hashes (unreadable files) are never indexed; files of the manifest that the scan lacks are ignored; repeated and late
     rows on both sides change nothing; an empty manifest makes everything new; an empty scan gives an empty result.
     """
-    seen = scan.where("file_path is not null and file_hash is not null").select("file_path", folded_hash(F.col("file_hash")).alias("file_hash")).distinct()
-    known = seen.join(latest_attempt(manifest), "file_path", "left").withColumn("done", F.coalesce(F.col("done_hash") == F.col("file_hash"), F.lit(False)))
-    log = numbered(known.select("file_path", "file_hash", "done"), F.struct("file_path", "file_hash"), shards)
-    available = log.groupBy("shard").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    gaps = subtract(available, intervals(log.where("done")))
-    return inside(log.drop("done"), gaps).groupBy("file_path").agg(F.min("file_hash").alias("file_hash"))
+    spark = scan.sparkSession
+    log = log or IntervalLog(spark, f"{checkpoint_dir(spark)}/intervals-{uuid.uuid4().hex}")
+    records = cut(versions(scan, manifest, shards))
+    log.adopt(records.where("done").select("shard", "seq"))
+    return inside(records.drop("done"), log.gaps(records)).groupBy("file_path").agg(F.min("file_hash").alias("file_hash"))
 
 
 def vanished_files(scan: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -111,47 +126,50 @@ def vanished_files(scan: DataFrame, manifest: DataFrame) -> DataFrame:
 class IntervalLog:
     """Processed intervals of a consumer, kept beside its output.
 
-    ``commits/<n>/output`` holds what run n wrote and ``commits/<n>/intervals`` all that was processed up to it. A run writes into a
-    folder of its own and renames it to the next number; the rename fails if another run took the number first.
+    Commit n names the folder that holds the output of run n and all intervals processed up to it. Two runs that begin at the same commit can't both
+    commit: the second fails, and its folder is never read.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.commits = Commits(spark, self.root)
 
-    def _last(self) -> int:
-        at = self._path(f"{self.root}/commits")
-        if not self._fs.exists(at):
-            return 0
-        return max([0, *(int(s.getPath().getName()) for s in self._fs.listStatus(at))])
-
-    def processed(self) -> DataFrame:
-        n = self._last()
-        return self.spark.read.schema(INTERVAL).parquet(f"{self.root}/commits/{n}/intervals") if n else self.spark.createDataFrame([], INTERVAL)
+    def processed(self, n: int | None = None) -> DataFrame:
+        n = self.commits.last() if n is None else n
+        return self.spark.read.schema(INTERVAL).parquet(f"{self.root}/{self.commits.read(n)['data']}/intervals") if n else self.spark.createDataFrame([], INTERVAL)
 
     def output(self) -> DataFrame | None:
-        n = self._last()
-        parts = [f"{self.root}/commits/{k}/output" for k in range(1, n + 1)]
-        return self.spark.read.option("mergeSchema", True).parquet(*parts) if parts else None
+        made = [c for c in map(self.commits.read, range(1, self.commits.last() + 1)) if c["output"]]
+        return self.spark.read.option("mergeSchema", True).parquet(*[f"{self.root}/{c['data']}/output" for c in made]) if made else None
+
+    def gaps(self, records: DataFrame) -> DataFrame:
+        """The intervals of the records' numbers (shard, seq) that aren't processed."""
+        whole = records.groupBy("shard").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count(F.lit(1)).alias("n"))
+        if whole.where("n <> hi - lo + 1").isEmpty():  # numbers without holes are one range
+            return subtract(whole.drop("n"), self.processed())
+        return subtract(intervals(records.select("shard", "seq")), self.processed())
+
+    def adopt(self, numbers: DataFrame) -> int:
+        """Commit numbers (shard, seq) as processed without any output, as from a history that was kept elsewhere."""
+        n, at = self.commits.last(), self.commits.folder()
+        merged = intervals(numbers) if n == 0 else merge(self.processed(n), intervals(numbers))
+        merged.write.parquet(f"{self.root}/{at}/intervals")
+        self.commits.claim(n + 1, {"data": at, "output": False})
+        return n + 1
 
     def run(self, records: DataFrame, process: Callable[[DataFrame], DataFrame]) -> int:
         """Process the records (with shard and seq) in the gaps and commit; the number of the commit, or 0 where nothing is open.
 
         An exception inside ``process`` or while writing leaves the log as it was."""
-        n, done = self._last(), self.processed()
-        available = intervals(records.select("shard", "seq"))
-        gaps = subtract(available, done)
+        n = self.commits.last()
+        gaps = self.gaps(records)
         if gaps.isEmpty():
             return 0
-        staged = f"{self.root}/staged/{uuid.uuid4().hex}"
+        at = self.commits.folder()
         # gaps are written first and read back: records that arrive while the run goes on can't slip into its intervals
-        gaps.write.parquet(f"{staged}/gaps")
-        fixed = self.spark.read.schema(INTERVAL).parquet(f"{staged}/gaps")
-        process(inside(records, fixed)).write.parquet(f"{staged}/output")
-        merge(done, fixed).write.parquet(f"{staged}/intervals")
-        self._fs.mkdirs(self._path(f"{self.root}/commits"))
-        target = self._path(f"{self.root}/commits/{n + 1}")
-        if self._fs.exists(target) or not self._fs.rename(self._path(staged), target):
-            raise RuntimeError(f"commit {n + 1} was taken by another run")
+        gaps.write.parquet(f"{self.root}/{at}/gaps")
+        fixed = self.spark.read.schema(INTERVAL).parquet(f"{self.root}/{at}/gaps")
+        process(inside(records, fixed)).write.parquet(f"{self.root}/{at}/output")
+        merge(self.processed(n), fixed).write.parquet(f"{self.root}/{at}/intervals")
+        self.commits.claim(n + 1, {"data": at, "output": True})
         return n + 1

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomdex.operators.commits import Commits
+
 # Columns that older tables lack or name otherwise.
 RENAMED = {"page_number": "page_start", "heading_path": "section_path"}
 ADDED = {
@@ -59,38 +61,60 @@ def marked_error(files: DataFrame, at: float) -> DataFrame:
 
 
 class Table:
-    """A Parquet table whose content is replaced as a whole: versions are folders, and a version counts once its folder has its name."""
+    """A Parquet table in buckets by a hash of the column ``by``. A version is a commit that names the folder of each bucket; an upsert or delete by that column
+    writes the touched buckets alone, one by any other column writes all."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, schema: str, by: str | None = None, buckets: int = 64):
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
+        self.by = by or schema.split()[0]
+        self.commits = Commits(spark, self.path)
 
     def version(self) -> int:
-        at = self._path(self.path)
-        if not self._fs.exists(at):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)]
-        return max([0, *(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())])
+        return self.commits.last()
+
+    def _where(self, n: int) -> dict[str, str]:
+        return self.commits.read(n)["buckets"] if n else {}
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        n = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{n}") if n else self.spark.createDataFrame([], self.schema)
+        return self._rows(list(self._where(self.version()).values()))
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(self.by), F.lit(self.buckets)).cast("int")
+
+    def _commit(self, n: int, kept: dict[str, str], rows: DataFrame) -> int:
+        at = self.commits.folder()
+        names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
+        rows.select(*names).withColumn("__bucket", self._bucket()).repartition(self.buckets, "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{at}")
+        there = self.commits._path(f"{self.path}/{at}")
+        made = [s.getPath().getName() for s in self.commits._fs.listStatus(there) if s.isDirectory()]
+        self.commits.claim(n + 1, {"buckets": kept | {d.split("=")[1]: f"{at}/{d}" for d in made if "=" in d}})
+        return n + 1
 
     def replace(self, rows: DataFrame) -> int:
-        """Write a new version; readers see the old one until it is complete. The number of the new version."""
-        n = self.version() + 1
-        staged = f"{self.path}/_staged_{uuid.uuid4().hex}"
-        rows.write.parquet(staged)
-        if not self._fs.rename(self._path(staged), self._path(f"{self.path}/v{n}")):
-            raise RuntimeError(f"version {n} was taken by another writer")
-        return n
+        """Write all buckets; readers see the old version until it is complete. The number of the new version."""
+        return self._commit(self.version(), {}, rows)
+
+    def _change(self, keys: DataFrame, key: str, changed: Callable[[DataFrame], DataFrame]) -> int:
+        n = self.version()
+        where = self._where(n)
+        touched = set(where)
+        if key == self.by:
+            touched = {str(r[0]) for r in keys.select(self._bucket()).distinct().collect()}  # at most the number of buckets
+        old = self._rows([f for b, f in where.items() if b in touched])
+        return self._commit(n, {b: f for b, f in where.items() if b not in touched}, changed(old))
 
     def upsert(self, changes: DataFrame, key: str) -> int:
-        return self.replace(upserted(self.read(), changes, key))
+        return self._change(changes, key, lambda old: upserted(old, changes, key))
 
     def delete(self, keys: DataFrame, key: str) -> int:
-        return self.replace(without(self.read(), keys, key))
+        return self._change(keys, key, lambda old: without(old, keys, key))
+
+    def replace_groups(self, keys: DataFrame, rows: DataFrame) -> int:
+        """All rows of the keys (of the column ``by``) are replaced by ``rows``, which may have any number for a key, in one version."""
+        return self._change(keys, self.by, lambda old: without(old, keys, self.by).unionByName(rows, allowMissingColumns=True))
 
     def truncate(self) -> int:
         return self.replace(self.spark.createDataFrame([], self.schema))

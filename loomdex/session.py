@@ -26,10 +26,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster. A folder of this machine is taken only where the session names none, as in tests."""
+    """The shared folder of the cluster. A folder of this machine is taken only by a local session that names none, as in tests; on a cluster that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not configured and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="loomdex-ckpt-"))
         current = spark.sparkContext.getCheckpointDir()
     return configured or current

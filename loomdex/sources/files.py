@@ -9,11 +9,13 @@ from html.parser import HTMLParser
 from io import BytesIO
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.config import DEFAULT, Settings
+from loomdex.functions.cleaning import clean_text
 
 SEGMENT = "doc string, seg_no int, page int, page_end int, heading string, text string, kind string, level int"
 Segment = tuple  # page, page_end, heading, text, kind, level
@@ -31,8 +33,8 @@ def parser(*extensions: str):
     return add
 
 
-def scan(spark: SparkSession, roots: list[str], settings: Settings = DEFAULT) -> DataFrame:
-    """(root, file_path, size, mtime, ext, content): all files of the allowed endings and size; directories with an excluded
+def scan(spark: SparkSession, roots: list[str], settings: Settings = DEFAULT, any_size: bool = False) -> DataFrame:
+    """(root, file_path, size, mtime, ext, content): all files of the allowed endings and, unless ``any_size``, of the allowed size; directories with an excluded
     name below the root are left out. Missing roots have no files."""
     out = None
     for root in roots:
@@ -42,7 +44,7 @@ def scan(spark: SparkSession, roots: list[str], settings: Settings = DEFAULT) ->
         glob = "*.{" + ",".join(x for e in settings.extensions for x in (e, e.upper())) + "}"
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
         below = F.split(F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")), ""), "/")
-        fine = (F.col("length") <= settings.max_file_bytes) & ~F.arrays_overlap(below, F.array(*[F.lit(x) for x in settings.excluded]))
+        fine = (F.lit(any_size) | (F.col("length") <= settings.max_file_bytes)) & ~F.arrays_overlap(below, F.array(*[F.lit(x) for x in settings.excluded]))
         rows = files.where(fine).select(F.lit(root).alias("root"), F.col("path").alias("file_path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("ms"), F.lower(F.substring_index("path", ".", -1)).alias("ext"), "content")
         out = rows if out is None else out.unionByName(rows)
     if out is None:
@@ -54,15 +56,37 @@ def hashed(files: DataFrame) -> DataFrame:
     return files.withColumn("file_hash", F.sha2("content", 256))
 
 
+#: So many files are opened by their paths; more are read by another pass over the roots.
+OPENED = 10_000
+
+
+def contents(spark: SparkSession, roots: list[str], wanted: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """(file_path, ext, content) of the wanted files (file_path); the bytes of others aren't read where the wanted ones are few."""
+    few = [r["file_path"] for r in wanted.select("file_path").distinct().limit(OPENED + 1).collect()]
+    if len(few) > OPENED:
+        return scan(spark, roots, settings).select("file_path", "ext", "content").join(wanted.select("file_path").distinct(), "file_path", "left_semi")
+    if not few:
+        return spark.createDataFrame([], "file_path string, ext string, content binary")
+    # a path is a pattern to the reader, so the signs of patterns are escaped
+    files = spark.read.format("binaryFile").load([re.sub(r"([\\*?\[\]{},])", r"\\\1", p) for p in few])
+    return files.select(F.col("path").alias("file_path"), F.lower(F.substring_index("path", ".", -1)).alias("ext"), "content")
+
+
 def decode(raw: bytes) -> str:
     """By byte order mark UTF-16, else UTF-8, else the first codec that takes all bytes - double-byte ones only where most bytes beyond ASCII stand
     next to each other -, else UTF-8 with U+FFFD."""
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return raw.decode("utf-16", "replace")
-    high = [b > 0x7F for b in raw]
-    beside = sum(h and (high[i - 1] and i > 0 or i + 1 < len(high) and high[i + 1]) for i, h in enumerate(high))
-    east = ("gb18030", "cp932") if 2 * beside > sum(high) else ()
-    for codec in ("utf-8-sig", *east, "cp1252"):
+    try:
+        return raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        pass
+    high = np.frombuffer(raw, dtype=np.uint8) > 0x7F
+    beside = high.copy()
+    beside[1:-1] &= high[:-2] | high[2:]
+    beside[:1] &= high[1:2] if len(high) > 1 else False
+    beside[-1:] &= high[-2:-1] if len(high) > 1 else False
+    for codec in (*(("gb18030", "cp932") if 2 * beside.sum() > high.sum() else ()), "cp1252"):
         try:
             return raw.decode(codec)
         except UnicodeDecodeError:
@@ -158,7 +182,8 @@ def docx_segments(raw: bytes) -> list[Segment]:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Segments of files (file_path, ext, content), with ``error``: a file that can't be parsed gives one row with its error and no text."""
+    """Segments of files (file_path, ext, content), with ``error``: a file that can't be parsed gives one row with its error and no text. Running text is cleaned
+    of noise lines and scrubbed; a segment that has nothing else is left out. Code, tables and headings stay as they are."""
     schema = SEGMENT + ", error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,4 +202,6 @@ def parse(files: DataFrame) -> DataFrame:
                 made[c] = made[c].astype("Int32")
             yield made
 
-    return files.select("file_path", "ext", "content").mapInPandas(run, schema)
+    made = files.select("file_path", "ext", "content").mapInPandas(run, schema)
+    cleaned = made.withColumn("text", F.when(F.col("kind") == "text", clean_text(F.col("text"))).otherwise(F.col("text")))
+    return cleaned.where("error is not null or text <> ''")

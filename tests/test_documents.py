@@ -131,13 +131,13 @@ def test_index_is_incremental(spark, tmp_path):
     (docs / ".git" / "x.md").write_text("hidden " * 100)
     (docs / "d.exe").write_text("no")
     ix = Index(spark, f"file://{tmp_path}/index")
-    assert run(ix, [str(docs)]) == {"new": 2, "updated": 0, "failed": 1, "removed": 0, "skipped": 0}
+    assert run(ix, [str(docs)]) == {"new": 2, "updated": 0, "failed": 1, "removed": 0, "skipped": 0, "too_large": 0}
     first = ix.chunks.read().count()
     assert first >= 2 and ix.vectors.read().count() == ix.chunks.read().where("not is_parent").count()
-    assert run(ix, [str(docs)]) == {"new": 0, "updated": 0, "failed": 1, "removed": 0, "skipped": 2}
+    assert run(ix, [str(docs)]) == {"new": 0, "updated": 0, "failed": 1, "removed": 0, "skipped": 2, "too_large": 0}
     (docs / "b.txt").unlink()
     (docs / "a.md").write_text("# A\n" + "Entirely other words on quotas and trees. " * 30)
-    assert run(ix, [str(docs)]) == {"new": 0, "updated": 1, "failed": 1, "removed": 1, "skipped": 0}
+    assert run(ix, [str(docs)]) == {"new": 0, "updated": 1, "failed": 1, "removed": 1, "skipped": 0, "too_large": 0}
     left = ix.chunks.read()
     assert left.where("content like '%batteries%' or content like '%snapshots%'").count() == 0 and left.count() > 0
     assert {r["status"] for r in ix.manifest.read().collect()} == {"done", "error"}
@@ -153,10 +153,10 @@ def test_index_takes_more_files_than_the_report(spark, tmp_path):
     assert run(ix, [str(docs)], two)["new"] == 2
     for i in range(3):
         (docs / f"new{i}.txt").write_text(f"Words {i} about quotas and trees of the pool. " * 20)
-    assert run(ix, [str(docs)], two) == {"new": 3, "updated": 0, "failed": 0, "removed": 0, "skipped": 2}
+    assert run(ix, [str(docs)], two) == {"new": 3, "updated": 0, "failed": 0, "removed": 0, "skipped": 2, "too_large": 0}
     assert ix.chunks.read().select("file_path").distinct().count() == 5
     (docs / "old0.txt").unlink()
-    assert run(ix, [str(docs)], two) == {"new": 0, "updated": 0, "failed": 0, "removed": 1, "skipped": 4}
+    assert run(ix, [str(docs)], two) == {"new": 0, "updated": 0, "failed": 0, "removed": 1, "skipped": 4, "too_large": 0}
     for i in range(501):
         (docs / f"more{i}.txt").write_text("x")
     assert files.scan(spark, [str(docs)]).count() == 505

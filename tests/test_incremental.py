@@ -89,3 +89,50 @@ def test_files_to_index(spark):
     assert {r["file_path"] for r in inc.vanished_files(scan, manifest).collect()} == {"gone"}
     assert inc.files_to_index(scan.limit(0), manifest).count() == 0
     assert inc.files_to_index(scan, manifest.limit(0)).count() == 5
+
+
+def test_only_one_writer_gets_a_number(spark, tmp_path):
+    from loomdex.operators.commits import Commits
+
+    c = Commits(spark, f"file://{tmp_path}/t")
+    (tmp_path / "t" / "_commits").mkdir(parents=True)
+    (tmp_path / "t" / "_commits" / "stray").write_text("x")
+    assert c.last() == 0
+    c.claim(1, {"data": "a"})
+    with pytest.raises(RuntimeError, match="taken"):
+        c.claim(1, {"data": "b"})
+    assert c.last() == 1 and c.read(1) == {"data": "a"}
+
+
+def test_two_runs_from_one_state(spark, tmp_path):
+    log = inc.IntervalLog(spark, f"file://{tmp_path}/log")
+    rows = records(spark, [(0, 1, "a"), (0, 2, "b")])
+
+    def meanwhile(d):
+        assert inc.IntervalLog(spark, f"file://{tmp_path}/log").run(rows, lambda x: x) == 1
+        return d
+
+    with pytest.raises(RuntimeError, match="taken"):
+        log.run(rows, meanwhile)
+    assert sorted(r["body"] for r in log.output().collect()) == ["a", "b"]
+    assert log.run(rows, lambda d: d) == 0
+
+
+def test_a_killed_run_repeats_nothing(spark, tmp_path, monkeypatch):
+    log = inc.IntervalLog(spark, f"file://{tmp_path}/log")
+    rows = records(spark, [(0, 1, "a"), (0, 2, "b")])
+    with monkeypatch.context() as m:
+        m.setattr(log.commits, "claim", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            log.run(rows, lambda d: d)
+    assert log.output() is None and log.run(rows, lambda d: d) == 1
+    assert log.output().count() == 2
+
+
+def test_old_versions_keep_their_numbers(spark):
+    scan = spark.createDataFrame([(f"f{i}", f"h{i}", None, None) for i in range(6)], SCAN)
+    manifest = spark.createDataFrame([(f"f{i}", f"h{i}", "done", float(9 - i)) for i in range(6)], MANIFEST)
+    first = {r["file_path"]: (r["shard"], r["seq"]) for r in inc.versions(scan, manifest, 2).collect()}
+    more = scan.unionByName(spark.createDataFrame([(f"a{i}", "x", None, None) for i in range(4)], SCAN))
+    then = {r["file_path"]: (r["shard"], r["seq"]) for r in inc.versions(more, manifest, 2).collect()}
+    assert len(then) == 10 and all(then[k] == v for k, v in first.items())
