@@ -87,7 +87,7 @@ def main(argv: list[str] | None = None) -> int:
 
 def answer(index: Index, questions: list[str], threshold: float, top_n: int) -> None:
     asked = index.spark.createDataFrame([(str(n), q) for n, q in enumerate(questions)], "query_id string, text string")
-    corpus = Corpus(index.chunks.read().where("not is_parent"), index.vectors.read())
+    corpus = Corpus(index.chunks.read().where("not is_parent"), index.vectors.read(), stored=(index.postings.read(), index.lengths.read()))
     for r in ask(asked, corpus, Settings(dense_min=threshold, final_top_n=top_n)).orderBy("query_id").collect():
         print(f"[{r['state']}] {r['text']}")
         for c in r["citations"] or []:
@@ -100,7 +100,7 @@ def status(index: Index) -> None:
 
 
 def purge(index: Index) -> None:
-    for t in (index.chunks, index.vectors, index.manifest):
+    for t in (index.chunks, index.vectors, index.postings, index.lengths, index.manifest, index.events):
         t.truncate()
 
 

@@ -57,6 +57,37 @@ def sentences(text: str) -> list[str]:
     return [s.strip() for s in out if s.strip()]
 
 
+def sentences_column(text: Column) -> Column:
+    """The same as ``sentences`` inside the JVM: marks stand where sentences end and are taken away again after abbreviations, single letters and numbers."""
+    mark = "\ufdd1"
+    t = F.regexp_replace(text, "([.!?。！？])[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{b}]+(?=[A-Za-z0-9一-鿿])", "$1" + mark)
+    known = "|".join(a.replace(".", "\\.") for a in sorted(SENTENCE_ABBREVIATIONS, key=lambda a: (-len(a), a)))
+    t = F.regexp_replace(t, f"(?i)(?<=^|[\\s{mark}])((?:{known}|[a-z]|[0-9]+)\\.+){mark}", "$1 ")
+    trimmed = F.transform(F.split(t, mark), lambda x: F.regexp_replace(x, "(?U)^\\s+|\\s+$", ""))
+    return F.filter(trimmed, lambda x: x != "")
+
+
+def packed(rows: DataFrame, units_column: str, size: int, overlap: int) -> DataFrame:
+    """rows with (window_no, first, last) for each window of their units, the places of its first and last unit from 0; rows without units have none."""
+
+    @F.pandas_udf("array<struct<first:int,last:int>>")
+    def run(counts: pd.Series) -> pd.Series:
+        return pd.Series([[{"first": a, "last": b - 1} for a, b in windows(c.tolist(), size, overlap)] for c in counts])
+
+    made = rows.withColumn("__w", run(F.transform(units_column, token_count)))
+    return made.select(*rows.columns, F.posexplode("__w").alias("window_no", "__x")).select(*rows.columns, "window_no", "__x.first", "__x.last")
+
+
+def split_column(rows: DataFrame, column: str, split) -> DataFrame:
+    """rows with ``pieces``, an array of what ``split`` makes of a text."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([split(t) for t in texts])
+
+    return rows.withColumn("pieces", run(F.col(column)))
+
+
 def windows(counts: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
     """Ranges [start, end) of units with these token counts: as many as fit into ``size`` but one at least; the next range begins so far back that
     the units repeated hold ``overlap`` tokens at most, but one at least."""
@@ -81,13 +112,26 @@ def pack(parts: list[str], size: int, overlap: int, joiner: str) -> list[str]:
     return [joiner.join(parts[a:b]) for a, b in windows([tokens(p) for p in parts], size, overlap)]
 
 
+def cut_run(text: str, size: int) -> list[str]:
+    """A run without any boundary in pieces of at most ``size`` tokens."""
+    out, start, weight = [], 0, 0
+    for i, c in enumerate(text):
+        w = 4 if "一" <= c <= "鿿" else 1
+        if weight + w > 4 * size + 3 and i > start:
+            out.append(text[start:i])
+            start, weight = i, 0
+        weight += w
+    return [*out, text[start:]]
+
+
 def _cut_words(text: str, size: int) -> list[str]:
-    parts = [w if tokens(w) <= size else w[: int(size * 3.6)] for w in text.split(" ") if w]
+    parts = [p for w in text.split(" ") if w for p in ([w] if tokens(w) <= size else cut_run(w, size))]
     return pack(parts, size, 0, " ")
 
 
 def split_oversize(text: str, size: int) -> list[str]:
-    """Sentences packed into ``size``; a sentence beyond it is packed by words, a word beyond it is cut."""
+    """Sentences packed into ``size``; a sentence beyond it is packed by words, a word beyond it is cut into pieces.
+    Nothing but white space is lost."""
     if tokens(text) <= size:
         return [text]
     parts: list[str] = []
@@ -102,7 +146,7 @@ def split_table(table: str, size: int) -> list[str]:
         return [table]
     lines = table.split("\n")
     if len(lines) < 3:
-        return [table[: int(size * 3.6)]]
+        return cut_run(table, size)
     head, out, own = lines[:2], [], []
     for row in lines[2:]:
         if own and tokens("\n".join([*head, *own, row])) > size:
@@ -179,9 +223,16 @@ def _fold(rows: list[dict], tier: tuple, s: Settings) -> list[dict]:
 
     def flush() -> None:
         nonlocal used, first, last
+        short = ""  # a piece that is too short for a chunk goes before the next one
         for piece in pack(buf, size, overlap, "\n\n"):
-            if tokens(piece) >= s.min_chunk:
-                emit(piece, "text", first, last, section)
+            whole = f"{short}\n\n{piece}" if short else piece
+            short = ""
+            if tokens(whole) >= s.min_chunk:
+                emit(whole, "text", first, last, section)
+            else:
+                short = whole
+        if short:
+            emit(short, "text", first, last, section)
         buf.clear()
         used, first, last = 0, None, None
 
@@ -205,7 +256,7 @@ def _fold(rows: list[dict], tier: tuple, s: Settings) -> list[dict]:
         elif kind in ("table", "code", "formula"):
             flush()
             sec = r["heading"] or section
-            pieces = split_table(text, min(s.table_max, size)) if kind == "table" else split_code(text, min(s.code_max, size)) if kind == "code" else [text if tokens(text) <= min(s.code_max, size) else text[: int(min(s.code_max, size) * 3.6)]]
+            pieces = split_table(text, min(s.table_max, size)) if kind == "table" else split_code(text, min(s.code_max, size)) if kind == "code" else cut_run(text, min(s.code_max, size))
             for p in pieces:
                 emit(p, kind, a, b, sec)
         elif _caption.match(text) and s.caption_min_tokens <= tokens(text) < 120:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomdex.functions.text import words
+from loomdex.session import cut
 
 POSTING = "term string, id string, tf int, positions array<int>, file_path string"
 LENGTH = "id string, len int, file_path string"
@@ -45,26 +46,59 @@ def phrase_terms(terms: DataFrame) -> DataFrame:
     return by_words.select("query_id", F.array_join("ws", " ").alias("phrase"), F.size("ws").alias("n_words"), F.posexplode("ws").alias("k", "term"))
 
 
-def bm25(terms: DataFrame, index: DataFrame, lengths: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank) for terms (query_id, phrase), any of which may match, over stored postings and lengths.
+def local_index(terms: DataFrame, texts: DataFrame, analyse=doubled) -> tuple[DataFrame, DataFrame]:
+    """(postings with len, stats) of the words of terms (query_id, phrase) alone over texts (id, text), where no index is stored: written once to the checkpoint folder."""
+    wanted = phrase_terms(terms).select("term").distinct()
+    rows = analysed(texts, analyse=analyse)
+    places = rows.select("id", F.size("words").alias("len"), F.posexplode("words").alias("at", "term")).join(F.broadcast(wanted), "term")
+    found = places.groupBy("id", "len", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))  # one text's places
+    return cut(found), rows.agg(F.count(F.lit(1)).alias("n_all"), F.avg(F.size("words")).alias("avg_len"))
 
-    Only the postings of the queries' words are read on: the distinct words are sent to the scan, which is ordered by term. Phrases of one word take its tf as it is;
-    those of more count the places where all words follow each other, found by grouping the places less their offsets. idf = ln((N - n + 0.5) / (n + 0.5)), or 1e-6 where
-    that isn't positive; ties go to the lesser id."""
+
+def stored_index(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from stored tables."""
+    return postings.join(lengths.select("id", "len"), "id"), lengths.agg(F.count(F.lit(1)).alias("n_all"), F.avg("len").alias("avg_len"))
+
+
+def bm25(terms: DataFrame, index: tuple[DataFrame, DataFrame], k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score, rank) for terms (query_id, phrase), any of which may match, over an index.
+
+    Only the postings of the queries' words are read on. Phrases of one word take its tf as it is; those of more count the places where all words follow
+    each other, found by grouping the places less their offsets. idf = ln((N - n + 0.5) / (n + 0.5)), or 1e-6 where that isn't positive; ties go to the lesser id.
+
+    Phrases that half of all texts have weigh 1e-6 and would make most of the rows. Texts are ranked without them first; only texts as near to the k-th as these phrases
+    together can reach are scored in full, and questions with fewer than k such texts are scored over all. The result is that of scoring everything."""
     asked = phrase_terms(terms)
     phrases = asked.select("phrase", "n_words", "k", "term").distinct()
-    hits = index.select("term", "id", "tf", "positions").join(F.broadcast(phrases), "term")  # words of a group of questions
-    single = hits.where("n_words = 1").select("phrase", "id", "tf")
-    at = hits.where("n_words > 1").select("phrase", "n_words", "id", "k", F.explode("positions").alias("p"))
-    starts = at.groupBy("phrase", "n_words", "id", (F.col("p") - F.col("k")).alias("start")).agg(F.count(F.lit(1)).alias("n")).where("n = n_words")
-    many = starts.groupBy("phrase", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    found = single.unionByName(many)
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_all"), F.avg("len").alias("avg_len"))
+    hits = index[0].join(F.broadcast(phrases), "term")  # the words of a group of questions
+    single = hits.where("n_words = 1").select("phrase", "id", "len", "tf")
+    at = hits.where("n_words > 1").select("phrase", "n_words", "id", "len", "k", F.explode("positions").alias("p"))
+    starts = at.groupBy("phrase", "n_words", "id", "len", (F.col("p") - F.col("k")).alias("start")).agg(F.count(F.lit(1)).alias("n")).where("n = n_words")
+    found = single.unionByName(starts.groupBy("phrase", "id", "len").agg(F.count(F.lit(1)).cast("int").alias("tf")))
     df = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.crossJoin(F.broadcast(stats)).select("phrase", "avg_len", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))  # stats is one row
+    weights = cut(df.crossJoin(F.broadcast(index[1])).select("phrase", "avg_len", (idf > 0).alias("strong"), F.when(idf > 0, idf).otherwise(1e-6).alias("idf")))  # a row for each phrase
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    weighted = found.join(F.broadcast(weights), "phrase").join(lengths.select("id", "len"), "id").select("phrase", "id", part.alias("part"))
-    scored = weighted.join(F.broadcast(asked.select("query_id", "phrase").distinct()), "phrase").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+    asked = asked.select("query_id", "phrase").distinct()
+
+    def scored(rows: DataFrame, some: DataFrame, who: DataFrame) -> DataFrame:
+        weighted = rows.join(F.broadcast(some), "phrase").select("phrase", "id", part.alias("part"))
+        return weighted.join(F.broadcast(who), "phrase").select("query_id", "id", "part")
+
+    strong, weak = weights.where("strong"), weights.where("not strong")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    first = scored(found, strong, asked).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    spare = asked.join(weak, "phrase").groupBy("query_id").agg((F.count(F.lit(1)) * (1e-6 * (k1 + 1)) + 1e-8).alias("spare"))
+    placed = first.withColumn("rank", F.row_number().over(w)).withColumn("kth", F.max(F.when(F.col("rank") == k, F.col("score"))).over(Window.partitionBy("query_id")))
+    near = placed.join(F.broadcast(spare), "query_id", "left").where(F.col("kth").isNull() | (F.col("score") >= F.col("kth") - F.coalesce("spare", F.lit(1e-8))))
+    near = cut(near.select("query_id", "id", "score", "kth"))  # about k rows for each question
+    more = scored(found.join(F.broadcast(near.select("id").distinct()), "id", "left_semi"), weak, asked).join(near.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    every = near.select("query_id", "id", F.col("score").alias("part")).unionByName(more)
+    enough = near.where("kth is not null").select("query_id").distinct()
+    short = cut(asked.join(enough, "query_id", "left_anti"))
+    if not short.isEmpty():
+        rest = scored(found, weak, short)
+        every = every.unionByName(rest.join(near.select("query_id", "id"), ["query_id", "id"], "left_anti"))
+    total = every.groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    return total.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")

@@ -33,7 +33,7 @@ def commands(query: Column) -> Column:
     """array<string>: each command without its prefix, with underscores and with blanks."""
     found = F.regexp_extract_all(query, F.lit("\\b[sS][vV][cC][_\\-][a-zA-Z_]+"), F.lit(0))
     found = F.filter(found, lambda x: x.rlike("^svc"))
-    body = lambda x: F.substring(x, 5, 10_000)
+    body = lambda x: F.substr(x, F.lit(5))
     return F.flatten(F.transform(found, lambda x: F.array(body(x), F.replace(body(x), F.lit("_"), F.lit(" ")))))
 
 

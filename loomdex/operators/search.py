@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomdex.functions.text import words
+from loomdex.operators.postings import bm25, local_index
 
 #: Queries that one pass over the corpus serves; more are dealt into groups and the corpus is read once for each.
 QUERIES_AT_ONCE = 4000
@@ -23,7 +24,7 @@ def _top(rows: DataFrame, k: int, score: str, tie: str, by: str = "query_id") ->
 
 
 def _groups(queries: DataFrame, key: str) -> list[DataFrame]:
-    n = max(1, math.ceil(queries.count() / QUERIES_AT_ONCE))
+    n = max(1, math.ceil(queries.select(key).distinct().count() / QUERIES_AT_ONCE))
     return [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == g) for g in range(n)]
 
 
@@ -59,43 +60,31 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, dim: int =
             for whole in batches:
                 for at in range(0, whole.num_rows if names else 0, 1000):  # the matrix of scores stays below 32 MB
                     batch = whole.slice(at, 1000)
-                    x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(-1, dim)
-                    ids = np.array(batch.column(0).to_pylist(), dtype=object)
+                    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                    ids = batch.column(0).to_numpy(zero_copy_only=False)
                     s = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
                     m = min(k + 8, s.shape[1])  # a few more, for ties at the end
                     least = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
                     r, c = np.nonzero(s >= least)
-                    yield pa.record_batch([pa.array(name_array[r].tolist()), pa.array(ids[c].tolist()), pa.array(s[r, c])], names=["query_id", "id", "score"])
+                    yield pa.record_batch([pa.array(name_array[r].tolist()), pa.array(ids[c]), pa.array(s[r, c])], names=["query_id", "id", "score"])
 
         parts.append(fine.mapInArrow(scan, f"query_id {qkind}, id {kind}, score double"))
     return _top(_union(parts), k, "score", "id").select("query_id", "id", "score", "rank")
 
 
 def bm25_top_k(queries: DataFrame, texts: DataFrame, k: int = 20, k1: float = 1.2, b: float = 0.75, analyse=words) -> DataFrame:
-    """(query_id, id, score, rank) for queries (query_id, text) and texts (id, text).
-
-    idf = ln((N - n + 0.5) / (n + 0.5)), or 1e-6 where that isn't positive. The terms of a group of queries are joined to the
-    exploded words of the texts before anything is counted, so that only their postings are shuffled; lengths are the sizes of the arrays of
-    words. A term counts once for each query. Null texts are no rows of the index.
-    """
-    analysed = texts.where("text is not null").select("id", F.explode(F.array(analyse(F.col("text")))).alias("words"))
-    spark = texts.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    stats = analysed.agg(F.count(F.lit(1)).alias("n_all"), F.avg(F.size("words")).alias("avg_len"))
+    """(query_id, id, score, rank) for queries (query_id, text) and texts (id, text): BM25 of the queries' words, each once, without a stored index."""
     parts = []
     for group in _groups(queries, "query_id"):
-        terms = group.select("query_id", F.explode(F.array_distinct(analyse(F.col("text")))).alias("term"))
-        wanted = terms.select("term").distinct()
-        postings = analysed.select("id", F.size("words").alias("len"), F.explode("words").alias("term")).join(F.broadcast(wanted), "term").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-        df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        idf = F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weights = df.crossJoin(F.broadcast(stats)).select("term", "avg_len", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))  # stats is one row
-        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-        # by text, in a number of parts that isn't coalesced: few bytes of postings make many rows, and their sums need no further shuffle
-        by_text = postings.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id")
-        scored = by_text.join(F.broadcast(weights), "term").select("id", "term", part.alias("part")).join(F.broadcast(terms), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
-        parts.append(scored)
-    return _top(_union(parts), k, "score", "id").select("query_id", "id", "score", "rank")
+        terms = group.select("query_id", F.explode(F.array_distinct(analyse(F.col("text")))).alias("phrase"))
+        parts.append(bm25(terms, local_index(terms, texts, analyse), k, k1, b))
+    return _union(parts)
+
+
+def bm25_of_terms(terms: DataFrame, texts: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, id, score, rank) for terms (query_id, phrase): a term of several words is a phrase, and names count as a whole beside their parts."""
+    parts = [bm25(g, local_index(g, texts), k) for g in _groups(terms, "query_id")]
+    return _union(parts)
 
 
 def substring_frequencies(terms: DataFrame, texts: DataFrame) -> DataFrame:

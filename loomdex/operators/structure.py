@@ -99,7 +99,7 @@ def merge_tables(tables: DataFrame) -> DataFrame:
     before = {c: F.lag(c).over(w) for c in ("page", "head", "last")}
     goes_on = (F.col("pos") == 0) & before["last"] & (F.col("page") == before["page"] + 1) & (F.col("head") == before["head"]) & (F.array_join("head", "") != "")
     runs = t.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    body = F.when(F.col("new") == 1, F.col("rows")).otherwise(F.slice("rows", 2, 1_000_000))
+    body = F.when(F.col("new") == 1, F.col("rows")).otherwise(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))))
     grouped = runs.groupBy("doc", "run").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.array_sort(F.collect_list(F.struct("page", "pos", body.alias("body")))).alias("parts"))
     return grouped.select("doc", "page_start", "page_end", F.flatten(F.transform("parts", lambda p: p["body"])).alias("rows"))
 
@@ -130,8 +130,8 @@ def heading_sizes(blocks: DataFrame, most: int = 6) -> DataFrame:
 
 
 def heading_level(size: Column, sizes: Column) -> Column:
-    """From 1 for the largest heading; 0 for text. Sizes are compared rounded."""
-    return F.coalesce(F.array_position(F.transform(sizes, lambda s: F.bround(size, 1) >= s), True), F.lit(0)).cast("int")
+    """From 1 for the largest heading; 0 for text. The size is compared as it is with the rounded sizes."""
+    return F.coalesce(F.array_position(F.transform(sizes, lambda s: size >= s), True), F.lit(0)).cast("int")
 
 
 def section_paths(segments: DataFrame, levels: int = 6) -> DataFrame:

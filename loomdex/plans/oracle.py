@@ -58,10 +58,47 @@ def _bm25(name: str, column: str, k: int) -> str:
 _INDEX = f"""{_ONCE},
     x AS (SELECT chunk_id AS id, {_WORDS.format('content')} AS ws FROM once WHERE content IS NOT NULL),
     w AS (SELECT id, len(ws) AS len, unnest(ws) AS term FROM x), st AS (SELECT count(*) AS n_all, avg(len(ws)) AS avg_len FROM x)"""
-_LISTS = f"""WITH {_INDEX}, {_bm25('a', 'question', 20)}, {_bm25('b', 'reference_answer', 20)},
-    lists AS (SELECT l.*, o.doc_id FROM (SELECT query_id, id AS chunk_id, score, rank, 0 AS list_id, 'dense' AS path FROM a UNION ALL SELECT query_id, id, score, rank, 1, 'sparse' FROM b) l JOIN once o USING (chunk_id))"""
-_DF = f"tok AS ({_FIRSTS.format(_ENGLISH)}), t AS (SELECT DISTINCT token FROM tok), df AS (SELECT token, (SELECT count(*) FROM once WHERE contains(lower(content), token)) AS df FROM t)"
 _USABLE = "v AS (SELECT vec_id AS id, lower(provider) AS provider, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM chunk_vectors WHERE embedding IS NOT NULL AND len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)))"
+def _list(items) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+
+
+def _distinct(x: str) -> str:
+    """The list without repeats, in order."""
+    return f"list_filter({x}, lambda y, i: list_position({x}, y) = i)"
+
+
+_HAN = sorted((t for t in TERMS if all("一" <= c <= "鿿" for c in t)), key=lambda t: (-len(t), t))
+_STOP = sorted((w for w in STOPWORDS if len(w) > 1), key=lambda t: (-len(t), t))
+_CHINESE = f"list_filter(regexp_extract_all(question, '{'|'.join([*_HAN, *_STOP, '[\\x{4e00}-\\x{9fff}]{2}'])}'), lambda t: NOT list_contains({_list(STOPWORDS)}, t))"
+_TERMS_OF = f"""pt AS (SELECT query_id, unnest({_distinct('l')}) AS phrase FROM (SELECT id AS query_id, list_concat({_distinct(_CHINESE)}, list_transform(regexp_extract_all(question, '[A-Za-z0-9_\\-.]{{2,}}'), lambda t: lower(t))) AS l FROM eval_cases))"""
+_ASCII_AGAIN = "flatten(list_transform(regexp_extract_all(lower({0}), '[a-z0-9_\\-.]{{2,}}'), lambda t: list_filter(regexp_split_to_array(t, '[_\\-.]+'), lambda w: w <> '')))"
+_DOUBLED = f"""{_ONCE},
+    x AS (SELECT chunk_id AS id, list_concat({_WORDS.format('content')}, {_ASCII_AGAIN.format('content')}) AS ws FROM once WHERE content IS NOT NULL),
+    w AS (SELECT id, len(ws) AS len, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM x), st AS (SELECT count(*) AS n_all, avg(len(ws)) AS avg_len FROM x)"""
+
+
+def _phrases(name: str, k: int) -> str:
+    """CTEs that end in ``name`` (query_id, id, score, rank): BM25 of the questions' terms as phrases over children."""
+    return f"""{_DOUBLED}, {_TERMS_OF},
+    pw AS (SELECT query_id, {_WORDS.format('phrase')} AS ws FROM pt), ph AS (SELECT DISTINCT query_id, array_to_string(ws, ' ') AS phrase, ws FROM pw WHERE len(ws) > 0),
+    pk AS (SELECT phrase, len(ws) AS n_words, unnest(ws) AS term, unnest(range(len(ws))) AS k FROM (SELECT DISTINCT phrase, ws FROM ph)),
+    pf AS (SELECT phrase, id, len, count(*) AS tf FROM (SELECT phrase, n_words, id, len, pos - k AS start FROM w JOIN pk USING (term) GROUP BY ALL HAVING count(*) = n_words) GROUP BY phrase, id, len),
+    pi AS (SELECT phrase, avg_len, CASE WHEN ln((n_all - df + 0.5) / (df + 0.5)) > 0 THEN ln((n_all - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM (SELECT phrase, count(*) AS df FROM pf GROUP BY phrase), st),
+    ps AS (SELECT query_id, id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS score FROM pf JOIN pi USING (phrase) JOIN (SELECT DISTINCT query_id, phrase FROM ph) USING (phrase) GROUP BY query_id, id),
+    {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM ps) WHERE rank <= {k})"""
+
+
+_MOCK = f"""{_USABLE.replace('lower(provider) AS provider', 'lower(provider) AS provider, chunk_id')},
+    mock AS (SELECT query_id, arg_min(vid, {{'a': md5(vid::VARCHAR), 'b': vid}}) AS vec_id FROM (SELECT e.id AS query_id, unnest(ground_truth_file) AS file_name FROM eval_cases e)
+        JOIN (SELECT DISTINCT chunk_id, file_name FROM chunks WHERE NOT is_parent) USING (file_name) JOIN (SELECT id AS vid, chunk_id FROM v) USING (chunk_id) GROUP BY query_id)"""
+_NEAR = f"""{_MOCK}, dq AS (SELECT query_id, v.v AS q FROM mock JOIN v ON v.id = vec_id),
+    ds AS (SELECT query_id, v.id, chunk_id, list_dot_product(q, v.v) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(v.v, v.v)) AS score FROM dq, v),
+    dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM ds),
+    near AS (SELECT query_id, chunk_id, max(score) AS score, min(rank) AS rank FROM dr WHERE rank <= 20 AND chunk_id IS NOT NULL GROUP BY query_id, chunk_id)"""
+_LISTS = f"""WITH {_phrases('b', 20)}, {_NEAR},
+    lists AS (SELECT l.*, o.doc_id FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS rank, 0 AS list_id, 'dense' AS path FROM near UNION ALL SELECT query_id, id, score, rank, 1, 'sparse' FROM b) l JOIN once o USING (chunk_id))"""
+_DF = f"tok AS ({_FIRSTS.format(_ENGLISH)}), t AS (SELECT DISTINCT token FROM tok), df AS (SELECT token, (SELECT count(*) FROM once WHERE contains(lower(content), token)) AS df FROM t)"
 _DENSE = "s AS (SELECT q.id AS query_id, v.id, list_dot_product(q.v, v.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(v.v, v.v)) AS score FROM v q, v WHERE q.id % 50 = 0 {0}), r AS (SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s)"
 _HITS = f"""WITH {_INDEX}, {_bm25('a', 'question', 10)},
     hits AS (SELECT query_id, rank, id AS chunk_id, content, file_name, file_path, page_start AS page, section_path AS section FROM a JOIN once ON once.chunk_id = a.id)"""
@@ -75,20 +112,6 @@ _FLAGS = """flags AS (SELECT e.id, category, difficulty,
         FROM eval_cases e LEFT JOIN (SELECT h.*, coalesce(list_bool_or(list_transform(coalesce(c.ground_truth_file, []), lambda g: contains(h.file_name, g))), false) AS m FROM hits h JOIN eval_cases c ON c.id = h.query_id) x ON x.query_id = e.id
         GROUP BY e.id, category, difficulty)"""
 
-
-
-def _list(items) -> str:
-    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
-
-
-def _distinct(x: str) -> str:
-    """The list without repeats, in order."""
-    return f"list_filter({x}, lambda y, i: list_position({x}, y) = i)"
-
-
-_HAN = sorted((t for t in TERMS if all("一" <= c <= "鿿" for c in t)), key=lambda t: (-len(t), t))
-_STOP = sorted((w for w in STOPWORDS if len(w) > 1), key=lambda t: (-len(t), t))
-_CHINESE = f"list_filter(regexp_extract_all(question, '{'|'.join([*_HAN, *_STOP, '[\\x{4e00}-\\x{9fff}]{2}'])}'), lambda t: NOT list_contains({_list(STOPWORDS)}, t))"
 _TABLE = "[" + ", ".join(f"{{'i': {i}, 'zh': '{zh}', 'en': '{en.replace(chr(39), chr(39) * 2)}'}}" for i, (zh, en) in enumerate(TERMS.items())) + "]"
 _GATE_TOKENS = f"""tok AS (SELECT DISTINCT query_id, token, kind FROM (
         SELECT id AS query_id, unnest(list_transform({_ENGLISH}, lambda t: regexp_replace(t, '[.\\-]+$', ''))) AS token, 'en' AS kind FROM eval_cases UNION ALL SELECT id, unnest({_CHINESE}), 'zh' FROM eval_cases) WHERE kind = 'zh' OR length(token) >= 2),
@@ -196,13 +219,21 @@ SQL: dict[str, str] = {
     "r01_dense_top_k": f"WITH {_USABLE}, {_DENSE.format('')} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20",
     "f01_filtered_dense": f"WITH {_USABLE}, {_DENSE.format("AND v.provider = 'cloud'")} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5",
     "f03_dense_threshold": f"WITH {_USABLE}, {_DENSE.format('')} SELECT query_id, id FROM r WHERE rank <= 20 AND score >= 0.6",
-    "r02_bm25_top_k": f"WITH {_INDEX}, {_bm25('a', 'question', 20)} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM a",
+    "r02_bm25_top_k": f"WITH {_phrases('a', 20)} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM a",
+    "k02_postings": f"WITH {_DOUBLED}, p AS (SELECT term, id, count(*) AS tf, max(pos) AS last FROM w GROUP BY term, id) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(last) AS last_place FROM p GROUP BY term",
+    "x14_mock_vectors": f"WITH {_MOCK} SELECT query_id, vec_id FROM mock",
+    "f12_dense_gate": f"""WITH {_ONCE}, {_NEAR}, {_DF}, n AS (SELECT greatest(1, floor(count(*) * 0.1)) AS most FROM once WHERE content IS NOT NULL),
+        r AS (SELECT query_id, list(token) AS ts FROM tok JOIN df USING (token), n WHERE df <= most GROUP BY query_id)
+        SELECT near.query_id, chunk_id FROM near JOIN once USING (chunk_id) LEFT JOIN r ON r.query_id = near.query_id WHERE score >= 0.5 AND (ts IS NULL OR list_bool_or(list_transform(ts, lambda x: contains(lower(content), x))))""",
+    "f13_sparse_gate": f"""WITH {_phrases('b', 20)}, {_DF}, n AS (SELECT greatest(1, floor(count(*) * 0.1)) AS most FROM once WHERE content IS NOT NULL),
+        r AS (SELECT query_id, list(token) AS ts FROM tok JOIN df USING (token), n WHERE df <= most GROUP BY query_id)
+        SELECT b.query_id, b.id AS chunk_id FROM b JOIN once ON once.chunk_id = b.id JOIN r ON r.query_id = b.query_id WHERE score >= 8 AND list_bool_or(list_transform(ts, lambda x: contains(lower(content), x)))""",
     "r05_rank_fusion": f"{_LISTS} SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM lists GROUP BY query_id, chunk_id",
-    "r06_vote_cap": f"""{_LISTS}, v AS (SELECT *, row_number() OVER (PARTITION BY query_id, list_id, doc_id ORDER BY rank) AS k FROM lists)
-        SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM v WHERE k <= 2 GROUP BY query_id, chunk_id""",
-    "r07_fused_pool": f"""{_LISTS}, v AS (SELECT *, row_number() OVER (PARTITION BY query_id, list_id, doc_id ORDER BY rank) AS k FROM lists)
-        SELECT query_id, chunk_id, round(coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (k <= 3), 0), 9) AS rrf, CASE WHEN count(DISTINCT path) = 2 THEN 'both' ELSE max(path) END AS matched_by FROM v GROUP BY query_id, chunk_id""",
-    "r09_fallback": f"{_LISTS} SELECT query_id, chunk_id FROM lists WHERE path = 'sparse' AND query_id NOT IN (SELECT query_id FROM lists WHERE path = 'dense' AND score >= 40)",
+    "r06_vote_cap": f"""{_LISTS}, votes AS (SELECT *, row_number() OVER (PARTITION BY query_id, list_id, doc_id ORDER BY rank) AS k FROM lists)
+        SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM votes WHERE k <= 2 GROUP BY query_id, chunk_id""",
+    "r07_fused_pool": f"""{_LISTS}, votes AS (SELECT *, row_number() OVER (PARTITION BY query_id, list_id, doc_id ORDER BY rank) AS k FROM lists)
+        SELECT query_id, chunk_id, round(coalesce(sum(1.0::DOUBLE / (60 + rank)) FILTER (k <= 3), 0), 9) AS rrf, CASE WHEN count(DISTINCT path) = 2 THEN 'both' ELSE max(path) END AS matched_by FROM votes GROUP BY query_id, chunk_id""",
+    "r09_fallback": f"{_LISTS} SELECT query_id, chunk_id FROM lists WHERE path = 'sparse' AND query_id NOT IN (SELECT query_id FROM lists WHERE path = 'dense' AND rank > 1 AND score >= 0.9)",
     "j04_child_parent": f"""WITH {_ONCE}, p AS (SELECT chunk_id AS pid, max(length(content)) AS parent_length FROM chunks WHERE is_parent GROUP BY chunk_id)
         SELECT chunk_id, nullif(parent_chunk_id, '') AS pid, CAST(parent_length AS INTEGER) AS parent_length FROM once LEFT JOIN p ON p.pid = nullif(parent_chunk_id, '')""",
     "j11_orphans": f"WITH {_ONCE} SELECT chunk_id, parent_chunk_id AS pid FROM once WHERE nullif(parent_chunk_id, '') IS NOT NULL AND parent_chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE is_parent)",

@@ -10,10 +10,11 @@ from pyspark.sql.window import Window
 
 from loomdex.config import DEFAULT, Settings
 from loomdex.functions import cleaning, text
-from loomdex.operators import chunking, evaluation, fusion, gates, generation, incremental, rewrite, search, store, structure
+from loomdex.operators import chunking, evaluation, fusion, gates, generation, incremental, postings, rewrite, search, store, structure
 from loomdex.operators.embedding import embed
 from loomdex.plans.evaluate import baseline
 from loomdex.plans.retrieve import Corpus, ask, retrieve
+from loomdex.session import cut
 from loomdex.sources.records import lookup
 from loomdex.sources.tables import table
 from loomdex.streaming.ingest import event_rates
@@ -30,7 +31,7 @@ def query(f: Query) -> Query:
 def once(spark: SparkSession, sf: str) -> DataFrame:
     """Children, one row for each chunk_id; repeats of a chunk differ in created_at and token_estimate alone, so any row serves."""
     cols = ["content", "file_path", "file_name", "page_start", "chunk_index", "doc_id", "doc_title", "section_path", "chunk_type", "parent_chunk_id"]
-    return table(spark, sf, "chunks").where(~F.col("is_parent")).groupBy("chunk_id").agg(*[F.max(c).alias(c) for c in cols])
+    return table(spark, sf, "chunks").where(~F.col("is_parent")).groupBy("chunk_id").agg(F.max(F.struct(*cols)).alias("r")).select("chunk_id", "r.*")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +72,7 @@ def a09_ingest_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def s13_manifest_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return incremental.latest_attempt(table(spark, sf, "manifest"))
+    return incremental.latest_attempt(table(spark, sf, "manifest")).select("file_path", "done_hash")
 
 
 @query
@@ -316,20 +317,48 @@ def f03_dense_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return r01_dense_top_k(spark, sf).where(F.col("score") >= DEFAULT.dense_min).select("query_id", "id")
 
 
+def _terms(spark: SparkSession, sf: str) -> DataFrame:
+    return questions(spark, sf).select("query_id", F.explode(gates.query_terms(F.col("text"))).alias("phrase"))
+
+
 @query
 def r02_bm25_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of the questions, names as phrases, over an index with doubled ASCII tokens."""
     texts = once(spark, sf).select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))
-    return search.bm25_top_k(questions(spark, sf), texts, 20).withColumn("score", F.round("score", 6))
+    return search.bm25_of_terms(_terms(spark, sf), texts, 20).withColumn("score", F.round("score", 6))
+
+
+@query
+def k02_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored postings of all chunks, summed by term."""
+    rows = postings.analysed(once(spark, sf).select(F.col("chunk_id").alias("id"), F.col("content").alias("text")))
+    return postings.postings(rows).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max(F.element_at("positions", -1)).cast("bigint").alias("last_place"))
+
+
+@query
+def x14_mock_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """For each evaluation case, the vector of the chunk of its true files whose id has the least digest, as the vector of its question."""
+    cases = table(spark, sf, "eval_cases").select(F.col("id").alias("query_id"), F.explode("ground_truth_file").alias("file_name"))
+    files = table(spark, sf, "chunks").where(~F.col("is_parent")).select("chunk_id", "file_name").distinct()
+    fine = _vectors(spark, sf).where(search.usable_vector(F.col("v"), 64)).select("chunk_id", F.col("id").alias("vec_id"))
+    return cases.join(files, "file_name").join(fine, "chunk_id").groupBy("query_id").agg(F.min_by("vec_id", F.struct(F.md5(F.col("vec_id").cast("string")), "vec_id")).alias("vec_id"))
+
+
+def _dense(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the nearest vectors of each case's mock vector, each chunk at its best one."""
+    v = _vectors(spark, sf)
+    asked = x14_mock_vectors(spark, sf).join(v.select(F.col("id").alias("vec_id"), "v"), "vec_id").select("query_id", "v")
+    near = search.dense_top_k(asked, v, k).join(v.select("id", "chunk_id"), "id").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.min("rank").alias("rank"))
+    return near.where("chunk_id is not null").select("query_id", "chunk_id", "score", "rank")
 
 
 def _lists(spark: SparkSession, sf: str) -> DataFrame:
-    """Two ranked lists of chunks for each question: BM25 of the question and BM25 of its reference answer."""
-    chunks = once(spark, sf)
+    """Two ranked lists of chunks for each question: vectors, ranked anew where vectors share a chunk, and BM25."""
+    chunks = cut(once(spark, sf).select("chunk_id", "content", "doc_id"))
     texts = chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))
-    answers = table(spark, sf, "eval_cases").select(F.col("id").alias("query_id"), F.col("reference_answer").alias("text"))
-    a = search.bm25_top_k(questions(spark, sf), texts, 20).withColumn("list_id", F.lit(0)).withColumn("path", F.lit("dense"))
-    b = search.bm25_top_k(answers, texts, 20).withColumn("list_id", F.lit(1)).withColumn("path", F.lit("sparse"))
-    return a.unionByName(b).withColumnRenamed("id", "chunk_id").join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+    a = fusion.renumbered(_dense(spark, sf).withColumn("list_id", F.lit(0))).withColumn("path", F.lit("dense"))
+    b = search.bm25_of_terms(_terms(spark, sf), texts, 20).withColumnRenamed("id", "chunk_id").withColumn("list_id", F.lit(1)).withColumn("path", F.lit("sparse"))
+    return cut(a.unionByName(b.select(*a.columns)).join(chunks.select("chunk_id", "doc_id"), "chunk_id"))
 
 
 @query
@@ -349,9 +378,28 @@ def r07_fused_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def r09_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    """Sparse hits of the questions that no chunk of code answers by words: the fallback policy."""
-    lists = _lists(spark, sf).select("query_id", "chunk_id", "path", "score")
-    return fusion.without_covered(lists.where("path = 'sparse'"), lists.where("path = 'dense' and score >= 40")).select("query_id", "chunk_id")
+    """The fallback policy: sparse hits of the questions that no other vector answers with a cosine of 0.9."""
+    lists = _lists(spark, sf).select("query_id", "chunk_id", "path", "score", "rank")
+    return fusion.without_covered(lists.where("path = 'sparse'"), lists.where("path = 'dense' and rank > 1 and score >= 0.9")).select("query_id", "chunk_id")
+
+
+@query
+def f12_dense_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense hits over the threshold whose content holds a rare token of the question."""
+    chunks = once(spark, sf).select("chunk_id", "content")
+    rare = f07_discriminative(spark, sf).groupBy("query_id").agg(F.collect_set("token").alias("rare_tokens"))
+    hits = _dense(spark, sf).join(chunks, "chunk_id").join(rare, "query_id", "left").withColumn("rare_tokens", F.coalesce("rare_tokens", F.array().cast("array<string>")))
+    return gates.dense_gate(hits, 0.5).select("query_id", "chunk_id")
+
+
+@query
+def f13_sparse_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """Sparse hits of a score of 8 and more whose content holds a rare token of the question."""
+    chunks = cut(once(spark, sf).select("chunk_id", "content"))
+    rare = f07_discriminative(spark, sf).groupBy("query_id").agg(F.collect_set("token").alias("rare_tokens"))
+    ranked = search.bm25_of_terms(_terms(spark, sf), chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text")), 20).withColumnRenamed("id", "chunk_id")
+    hits = ranked.join(chunks, "chunk_id").join(rare, "query_id", "left").withColumn("rare_tokens", F.coalesce("rare_tokens", F.array().cast("array<string>")))
+    return gates.sparse_gate(hits, 8.0).select("query_id", "chunk_id")
 
 
 @query
@@ -361,7 +409,7 @@ def r10_diverse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, sf: str) -> Corpus:
-    chunks = once(spark, sf)
+    chunks = cut(once(spark, sf))
     return Corpus(chunks, chunks.where("content is not null").select(F.col("chunk_id").alias("id"), embed(F.col("content"), dim=64).alias("v")))
 
 
@@ -420,7 +468,7 @@ def j11_orphans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf: str, k: int = 4) -> DataFrame:
-    chunks = once(spark, sf)
+    chunks = cut(once(spark, sf))
     texts = chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))
     top = search.bm25_top_k(questions(spark, sf), texts, k).withColumnRenamed("id", "chunk_id")
     return top.join(chunks.select("chunk_id", "content", "file_name", "file_path", F.col("page_start").alias("page"), F.col("section_path").alias("section")), "chunk_id")

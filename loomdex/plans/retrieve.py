@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from loomdex.config import DEFAULT, Settings
 from loomdex.operators import fusion, gates, generation, rewrite, search
 from loomdex.operators.embedding import embed
+from loomdex.operators.postings import bm25, stored_index
+from loomdex.session import cut
 
 
 @dataclass
@@ -19,6 +21,8 @@ class Corpus:
     chunks: DataFrame
     vectors: DataFrame
     dim: int = 64
+    #: (postings, lengths) as the index job stores them; without them the words of the questions are looked for in all chunks
+    stored: tuple[DataFrame, DataFrame] | None = None
 
 
 def retrieve(questions: DataFrame, corpus: Corpus, settings: Settings = DEFAULT, provider: str = "hash", pseudo: DataFrame | None = None, where=None) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +43,7 @@ def retrieve(questions: DataFrame, corpus: Corpus, settings: Settings = DEFAULT,
         tokens = gates.tokens_of(questions)
         df = search.substring_frequencies(tokens.select(F.col("token").alias("term")), texts.select("text"))
         judged = gates.discriminative(tokens, df, texts.where("text is not null").count(), settings.ubiquitous_ratio)
-        gate = gates.evidence_gate(questions, judged)
+        gate = cut(gates.evidence_gate(questions, judged))  # a row for each question
         open_ = questions.join(gate.where("passes").select("query_id"), "query_id")
         said = rewrite.variants(F.col("text")) if settings.rewrite else F.array(F.col("text"))
         listed = open_.select("query_id", F.posexplode(said).alias("list_id", "text"))
@@ -55,10 +59,15 @@ def retrieve(questions: DataFrame, corpus: Corpus, settings: Settings = DEFAULT,
     columns = ["query_id", "list_id", F.col("id").alias("chunk_id"), "doc_id", "score", "rank"]
     dense_lists = gates.dense_gate(found, settings.dense_min).select(*columns, F.lit("dense").alias("path"))
     open_texts = questions.select("query_id", "text") if injected and "text" in questions.columns else None if injected else questions.join(gate.where("passes").select("query_id"), "query_id").select("query_id", "text")
+    dense_lists = cut(dense_lists)  # at most dense_top_k rows for each variant
     lists = dense_lists
     if open_texts is not None:
-        terms = open_texts.select("query_id", F.array_join(gates.query_terms(F.col("text")), " ").alias("text"))
-        sparse = search.bm25_top_k(terms, texts, settings.sparse_top_k).withColumn("list_id", F.lit(1000)).join(about.select("id", "content", "doc_id"), "id").join(gate.select("query_id", "rare_tokens"), "query_id")
+        terms = open_texts.select("query_id", F.explode(gates.query_terms(F.col("text"))).alias("phrase"))
+        if corpus.stored and where is None:
+            ranked = bm25(terms, stored_index(*corpus.stored), settings.sparse_top_k)
+        else:
+            ranked = search.bm25_of_terms(terms, texts, settings.sparse_top_k)
+        sparse = ranked.withColumn("list_id", F.lit(1000)).join(about.select("id", "content", "doc_id"), "id").join(gate.select("query_id", "rare_tokens"), "query_id")
         kept = sparse if injected else gates.sparse_gate(sparse, settings.sparse_min, settings.require_token)
         sparse_lists = kept.select(*columns, F.lit("sparse").alias("path"))
         if settings.sparse_fallback_only:
