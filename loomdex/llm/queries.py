@@ -73,6 +73,11 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).where("n_windows > 0").groupBy("case_id", "field").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_windows").alias("most_windows"))
 
 
+def p9_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold an edited item, and no equal passage of that field."""
+    return _leaks(spark, sf).where("n_windows = 0").select("doc_id", "case_id", "field", F.round("similarity", 6).alias("similarity"))
+
+
 def _vectors(spark: SparkSession, sf: str) -> SimilarVectors:
     return SimilarVectors(usable(table(spark, sf, "chunk_vectors")))
 
@@ -134,7 +139,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_pieces, p2_found, p2_top10, p4_found, p4_cleaned, p5_found, p5_repaired, p6_found, p6_groups,
-        p7_found, p7_segments, p8_ids, p8_round_trip, p9_found, p9_report, p10_found, p10_restored,
+        p7_found, p7_segments, p8_ids, p8_round_trip, p9_found, p9_near, p9_report, p10_found, p10_restored,
     )
 }
 

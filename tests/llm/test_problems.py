@@ -291,20 +291,51 @@ def test_leaks_against_brute_force(spark):
     true = {(i, c) for i, t in docs for ws in [words(t or "")] for k in range(len(ws) - size + 1) for c in grams.get(tuple(ws[k : k + size]), ())}
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
     e = spark.createDataFrame(items, "id string, question string, reference_answer string")
-    for at_once in (2000, 5):
-        got = leakage.leaks(d, e, items_at_once=at_once).where("n_windows > 0").select("doc_id", "case_id").distinct().collect()
+    for at_once in (40, 100_000):
+        got = leakage.leaks(d, e, words_at_once=at_once).where("n_windows > 0").select("doc_id", "case_id").distinct().collect()
         assert {tuple(r) for r in got} == true and len(true) > 10
 
 
-def test_blocks_find_all_within_radius():
+@pytest.mark.parametrize("bits, radius", [(0, leakage.RADIUS), (leakage.NEAR_BITS, leakage.WIDE_RADIUS)])
+def test_blocks_find_all_within_radius(bits, radius):
     rng = np.random.default_rng(3)
-    index = leakage.Index([("a", "f", " ".join(f"w{i}" for i in range(60)))], 12)
-    for k in range(leakage.RADIUS + 1):
-        for j in range(len(index.prints)):
-            flipped = index.prints[j]
+    prints = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    blocks = leakage.Blocks(prints, bits, radius)
+    for k in range(radius + 1):
+        for j in range(len(prints)):
+            flipped = prints[j]
             for bit in rng.choice(64, k, replace=False):
                 flipped ^= np.uint64(1) << np.uint64(bit)
-            assert j in index.near(np.array([flipped], dtype=np.uint64))[1]
+            assert j in blocks.near(np.array([flipped], dtype=np.uint64))[1]
+
+
+def test_edited_items_are_found(spark):
+    """Items with an edit every nine words, so that no window of twelve is left, inside longer texts; recall over those whose similarity is at least 0.5."""
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {f"i{k}": some(rng.randrange(60, 110)) for k in range(40)}
+    rows, expected = [], set()
+    for n, (k, ws) in enumerate(items.items()):
+        edited = list(ws)
+        edited[rng.randrange(len(ws))] = "changed"
+        rows.append((n, " ".join(some(70) + edited + some(50))))
+        expected.add((n, k))
+    cut = [(1000 + n, " ".join(some(30) + ws[:9] + ["x"] + ws[10:19] + ["y"] + some(60))) for n, ws in enumerate(items.values())]
+    documents = spark.createDataFrame(rows + cut, "doc_id bigint, text string")
+    cases = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items.items()], "id string, question string")
+    index = leakage.Index([(k, "question", " ".join(ws)) for k, ws in items.items()], 200)
+    assert index.plain is None  # no item has 200 words
+    got = {(r["doc_id"], r["case_id"]): r for r in leakage.leaks(documents, cases).collect()}
+    assert set(got) == expected and all(r["n_windows"] > 0 for r in got.values())
+    # without equal windows the whole item must be found by its fingerprint
+    near = leakage.Index([(k, "question", " ".join(ws)) for k, ws in items.items()], 12)
+    near.windows = [("",)] * len(near.windows)
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["doc_id", "text"])
+    found = {(i, c) for out in leakage._scan(near, 0.8)(iter([batch])) for i, c in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    assert found <= expected and len(found) >= 0.9 * len(expected)
 
 
 # --- 10 ---
