@@ -98,3 +98,13 @@ def embed(text: Column, name: str = "hash", **options) -> Column:
         return pd.Series([None if n else v for n, v in zip(s.isna(), made, strict=True)])
 
     return run(text)
+
+
+def unload(url: str, model: str, timeout: float = 10.0) -> bool:
+    """Ask a service to let go of a model; whether it answered."""
+    body = json.dumps({"model": model, "keep_alive": 0}).encode()
+    try:
+        with urllib.request.build_opener(urllib.request.ProxyHandler({})).open(urllib.request.Request(url, body, {"Content-Type": "application/json"}), timeout=timeout):
+            return True
+    except OSError:
+        return False

@@ -24,12 +24,14 @@ def hit_flags(cases: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def hit_rates(flags: DataFrame) -> DataFrame:
-    """(category, difficulty, level, n, hit1, hit3, hit10) over all cases, by category and by difficulty; rates in percent, one place."""
+    """(category, difficulty, level, n, hit1, hit3, hit10) over all cases, by category and by difficulty; rates in percent, one place. Where the flags have them, also the means
+    of latency_ms (one place) and of top1, the best dense score (three places)."""
+    means = [F.bround(F.avg(c), n).alias(f"mean_{c}") for c, n in (("latency_ms", 1), ("top1", 3)) if c in flags.columns]
     rate = lambda k: F.bround(100 * F.avg(f"hit{k}"), 1).alias(f"hit{k}")
     c, d = F.col("category"), F.col("difficulty")
-    grouped = flags.groupingSets([[], [c], [d]], c, d).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), rate(1), rate(3), rate(10))
+    grouped = flags.groupingSets([[], [c], [d]], c, d).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), rate(1), rate(3), rate(10), *means)
     level = F.when(F.col("g") == 3, "overall").when(F.col("g") == 1, "category").otherwise("difficulty")
-    return grouped.select("category", "difficulty", level.alias("level"), "n", "hit1", "hit3", "hit10")
+    return grouped.select("category", "difficulty", level.alias("level"), "n", "hit1", "hit3", "hit10", *[f"mean_{c}" for c in ("latency_ms", "top1") if c in flags.columns])
 
 
 def token_stats(chunks: DataFrame, limit: int = 512) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomdex.config import TERMS
 from loomdex.functions.text import cache_key, first_words
@@ -78,5 +77,4 @@ def put(cache: DataFrame, made: DataFrame, size: int = 200) -> DataFrame:
     new = made.select(cache_key(F.col("query")).alias("query"), "doc", "ts")
     every = cache.select("query", "doc", "ts", F.lit(0).alias("__new")).unionByName(new.withColumn("__new", F.lit(1)))
     one = every.groupBy("query").agg(F.max_by(F.struct("doc", "ts"), F.struct("ts", "__new")).alias("x"))
-    w = Window.orderBy(F.desc("ts"), F.desc("query"))
-    return one.select("query", "x.doc", "x.ts").withColumn("n", F.row_number().over(w)).where(F.col("n") <= size).drop("n") if size else one.limit(0).select("query", "x.doc", "x.ts")
+    return one.select("query", "x.doc", "x.ts").orderBy(F.desc("ts"), F.desc("query")).limit(size)

@@ -176,7 +176,15 @@ SQL: dict[str, str] = {
         (SELECT substr(trim(split_part(coalesce(error_msg, ''), ':', 1)), 1, 60) AS h FROM manifest WHERE lower(trim(coalesce(status, ''))) <> 'done') GROUP BY 1""",
     "a12_status": """SELECT count(*) FILTER (lower(trim(status)) = 'done') AS n_done, count(*) FILTER (lower(trim(status)) = 'error') AS n_error,
         count(*) FILTER (status IS NULL) AS n_null, count(*) AS n, CAST(sum(chunk_count) AS BIGINT) AS n_chunks FROM manifest""",
-    "e06_throughput": "SELECT n_files, chunks, round(chunks / 0.4, 1) AS seconds FROM (SELECT count(*) AS n_files, CAST(sum(greatest(1, coalesce(size, 0) // 700)) AS BIGINT) AS chunks FROM file_scan)",
+    "e06_throughput": """WITH f AS (SELECT file_path, max(size) AS size FROM file_scan GROUP BY file_path), p AS (SELECT doc AS file_path, max(coalesce(page_end, page)) AS pages FROM segments GROUP BY doc)
+        SELECT n_files, chunks, round(chunks / 0.4, 1) AS seconds FROM (SELECT count(*) AS n_files, CAST(sum(CASE WHEN coalesce(pages, 0) > 0 THEN 3 * pages ELSE greatest(1, coalesce(size, 0) // 700) END) AS BIGINT) AS chunks FROM f LEFT JOIN p USING (file_path))""",
+    "w08_put": f"""SELECT query, arg_max(source, ts) AS doc, max(ts) AS ts FROM (SELECT regexp_replace(lower(regexp_replace({_strip('title')}, '[{_WS}]+', ' ', 'g')), '^[?？!！。，,、;；:：.·\\-_ ]+|[?？!！。，,、;；:：.·\\-_ ]+$', '', 'g') AS query, source, doc_id AS ts FROM documents WHERE title IS NOT NULL)
+        GROUP BY query ORDER BY ts DESC, query DESC LIMIT 200""",
+    "x16_smoke": f"""WITH {_NEAR} SELECT query_id, count(*) AS n, count(*) FILTER (score >= 0.6) AS n_over, round(max(score), 6) AS best FROM dr WHERE rank <= 20 GROUP BY query_id""",
+    "a10_top1": f"""WITH {_NEAR}, hits AS (SELECT query_id, rank, file_name FROM near JOIN (SELECT DISTINCT chunk_id, file_name FROM chunks WHERE NOT is_parent) USING (chunk_id)), {_FLAGS},
+        b AS (SELECT query_id AS id, max(score) AS top1 FROM near WHERE rank > 1 GROUP BY query_id)
+        SELECT category, difficulty, CASE grouping(category, difficulty) WHEN 3 THEN 'overall' WHEN 1 THEN 'category' ELSE 'difficulty' END AS level, count(*) AS n,
+          round_even(100 * avg(hit1), 1) AS hit1, round_even(100 * avg(hit3), 1) AS hit3, round_even(100 * avg(hit10), 1) AS hit10, round_even(avg(top1), 3) AS mean_top1 FROM flags LEFT JOIN b USING (id) GROUP BY GROUPING SETS ((), (category), (difficulty))""",
     "k01_upsert": """SELECT chunk_id, "at", file_path, chunk_type FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY "at" DESC NULLS LAST, chunk_type DESC NULLS LAST) AS rn FROM
         (SELECT chunk_id, substr(replace(replace(created_at, 'T', ' '), 'Z', ''), 1, 19) AS "at", file_path, chunk_type FROM chunks)) WHERE rn = 1""",
     "k03_delete_by_file": f"SELECT file_path, count(DISTINCT chunk_id) AS n FROM chunks WHERE file_path NOT IN ({_GONE}) GROUP BY file_path",
@@ -264,3 +272,4 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'parent_lacks_child', 'fail', count(*) FILTER (pid IS NOT NULL AND NOT contains(pc, substr(content, 1, 80))) FROM l""",
     "x01_event_rates": """SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""",
 }
+SQL["k08_cache_stats"] = f"SELECT count(*) AS n, count(*) FILTER (coalesce(doc, '') = '') AS n_empty, min(ts) AS oldest, max(ts) AS newest FROM ({SQL['w08_put']})"

@@ -12,10 +12,10 @@ from loomdex.config import DEFAULT, Settings
 from loomdex.functions import cleaning, text
 from loomdex.operators import chunking, evaluation, fusion, gates, generation, incremental, postings, rewrite, search, store, structure
 from loomdex.operators.embedding import embed
-from loomdex.plans.evaluate import baseline
+from loomdex.plans.evaluate import baseline, smoke
 from loomdex.plans.retrieve import Corpus, ask, retrieve
 from loomdex.session import cut
-from loomdex.sources.records import lookup
+from loomdex.sources.records import CACHE, cache_stats, lookup
 from loomdex.sources.tables import table
 from loomdex.streaming.ingest import event_rates
 
@@ -96,15 +96,19 @@ def a12_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def e06_throughput(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.throughput(table(spark, sf, "file_scan").withColumn("pages", F.lit(0)), "pages", "size")
+    pages = table(spark, sf, "segments").groupBy(F.col("doc").alias("file_path")).agg(F.max(F.coalesce("page_end", "page")).alias("pages"))
+    files = table(spark, sf, "file_scan").groupBy("file_path").agg(F.max("size").alias("size")).join(pages, "file_path", "left")
+    return evaluation.throughput(files.withColumn("pages", F.coalesce("pages", F.lit(0))), "pages", "size")
 
 
 @query
 def k01_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of chunks as if they had come one after the other: the last by created_at (spellings folded) of each chunk_id stays."""
     at = F.substring(F.replace(F.replace(F.col("created_at"), F.lit("T"), F.lit(" ")), F.lit("Z"), F.lit("")), 1, 19)
-    rows = table(spark, sf, "chunks").select("chunk_id", at.alias("at"), "file_path", "chunk_type")
-    return store.latest_rows(rows, "chunk_id", ["at", "chunk_type"])
+    rows = table(spark, sf, "chunks").select("chunk_id", at.alias("at"), "file_path", "chunk_type", "is_parent")
+    last = store.latest_rows(rows, "chunk_id", ["at", "chunk_type"])
+    old = last.where("is_parent").withColumn("chunk_type", F.lit("old"))  # parents that are there already are replaced
+    return store.upserted(old, last, "chunk_id").select("chunk_id", "at", "file_path", "chunk_type")
 
 
 @query
@@ -277,6 +281,18 @@ def w08_lru(spark: SparkSession, sf: str) -> DataFrame:
     return rewrite.lru(table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq")), 200)
 
 
+@query
+def w08_put(spark: SparkSession, sf: str) -> DataFrame:
+    """A cache of 200 entries after all titles of documents were put into it, in the order of their ids."""
+    made = table(spark, sf, "documents").where("title is not null").select(F.col("title").alias("query"), F.col("source").alias("doc"), F.col("doc_id").alias("ts"))
+    return rewrite.put(spark.createDataFrame([], CACHE), made, 200)
+
+
+@query
+def k08_cache_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return cache_stats(w08_put(spark, sf))
+
+
 @query
 def w09_first_words(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text is not null").select("doc_id", text.first_words(F.col("text"), 45).alias("text"))
@@ -423,6 +439,24 @@ def r12_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.join(hits, "query_id", "left").select("query_id", "reason", "rank", "chunk_id", "matched_by", F.round("rrf", 6).alias("rrf"))
 
 
+@query
+def r04_hyde(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the reference answers as pseudo-documents from the cache."""
+    q = questions(spark, sf)
+    cache = table(spark, sf, "eval_cases").where("question is not null").select(text.cache_key(F.col("question")).alias("query"), F.col("reference_answer").alias("doc"), F.lit(1).cast("bigint").alias("ts"))
+    pseudo = rewrite.pseudo_documents(q, cache).select("query_id", "doc")
+    hits, _ = retrieve(q, _corpus(spark, sf), HASHED, pseudo=pseudo)
+    return hits.select("query_id", "rank", "chunk_id", "matched_by")
+
+
+@query
+def x16_smoke(spark: SparkSession, sf: str) -> DataFrame:
+    """For the mock vector of each case, the nearest vectors: how many, how many over 0.6, and the best cosine."""
+    v = _vectors(spark, sf)
+    asked = x14_mock_vectors(spark, sf).join(v.select(F.col("id").alias("vec_id"), "v"), "vec_id").select("query_id", "v")
+    return smoke(Corpus(table(spark, sf, "chunks"), v.select("id", "v")), asked, 0.6)
+
+
 @query
 def r13_baseline(spark: SparkSession, sf: str) -> DataFrame:
     """The best by hashed vectors, else by words."""
@@ -510,6 +544,16 @@ def a10_hit_rates(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.hit_rates(a11_hit_flags(spark, sf))
 
 
+@query
+def a10_top1(spark: SparkSession, sf: str) -> DataFrame:
+    """Hit rates of the dense list with the mean of its best scores."""
+    names = table(spark, sf, "chunks").where(~F.col("is_parent")).select("chunk_id", "file_name").distinct()
+    dense = _dense(spark, sf)
+    flags = evaluation.hit_flags(table(spark, sf, "eval_cases"), dense.join(names, "chunk_id").select("query_id", "rank", "file_name"))
+    best = dense.where("rank > 1").groupBy(F.col("query_id").alias("id")).agg(F.max("score").alias("top1"))
+    return evaluation.hit_rates(flags.join(best, "id", "left"))
+
+
 @query
 def a11_hit_flags(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.hit_flags(table(spark, sf, "eval_cases"), _hits(spark, sf, 10))

@@ -17,15 +17,39 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_cache(cache: DataFrame, path: str) -> None:
-    """Replace the cache as a whole: written beside it, then renamed."""
+    """Replace the cache as a whole. The new one is complete before the old one is moved aside, and that is deleted last: a crash leaves one of them to ``read_cache``'s path or beside it."""
     spark = cache.sparkSession
-    staged = f"{path}.{uuid.uuid4().hex}"
+    mark = uuid.uuid4().hex
+    staged, old = f"{path}.{mark}", f"{path}.{mark}.old"
     cache.select("query", "doc", "ts").write.json(staged)
     path_class = spark._jvm.org.apache.hadoop.fs.Path
     fs = path_class(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path_class(path), True)
+    had = fs.exists(path_class(path))
+    if had and not fs.rename(path_class(path), path_class(old)):
+        raise RuntimeError(f"{path} could not be moved")
     if not fs.rename(path_class(staged), path_class(path)):
+        fs.rename(path_class(old), path_class(path))
         raise RuntimeError(f"{path} could not be replaced")
+    if had:
+        fs.delete(path_class(old), True)
+
+
+def clear_cache(spark: SparkSession, path: str) -> None:
+    write_cache(spark.createDataFrame([], CACHE), path)
+
+
+def cache_stats(cache: DataFrame) -> DataFrame:
+    """(n, n_empty, oldest, newest) of a cache."""
+    return cache.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("doc", F.lit("")) == "").alias("n_empty"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"))
+
+
+def write_report(rates: DataFrame, path: str) -> None:
+    """Rates of an evaluation as one JSON line for each group."""
+    rates.coalesce(1).write.mode("overwrite").json(path)
+
+
+def missing_columns(table: DataFrame, needed: list[str]) -> list[str]:
+    return [c for c in needed if c not in table.columns]
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
