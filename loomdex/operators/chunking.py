@@ -194,15 +194,13 @@ def parent_groups(counts: list[int], size: int) -> list[int]:
 
 
 def parent_groups_column(counts: Column, size: int) -> Column:
-    """The same for an array of counts, as a fold inside the JVM: array<int>."""
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("group"), F.array().cast("array<int>").alias("out"))
+    """The same for an array of counts: array<int>."""
 
-    def step(s, n):
-        full = (F.size(s["out"]) > 0) & (s["used"] + n > size)
-        group = F.when(full, s["group"] + 1).otherwise(s["group"])
-        return F.struct(F.when(full, n).otherwise(s["used"] + n).alias("used"), group.alias("group"), F.concat(s["out"], F.array(group)).alias("out"))
+    @F.pandas_udf("array<int>")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([parent_groups(c.tolist(), size) for c in s])
 
-    return F.aggregate(counts, start, step, lambda s: s["out"])
+    return run(counts)
 
 
 CHUNK = (

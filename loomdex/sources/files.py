@@ -187,6 +187,8 @@ def parse(files: DataFrame) -> DataFrame:
     schema = SEGMENT + ", error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import loomdex.sources.pdf  # noqa: F401 - its parser registers itself
+
         for frame in frames:
             rows = []
             for path, ext, content in zip(frame["file_path"], frame["ext"], frame["content"], strict=True):
@@ -204,4 +206,4 @@ def parse(files: DataFrame) -> DataFrame:
 
     made = files.select("file_path", "ext", "content").mapInPandas(run, schema)
     cleaned = made.withColumn("text", F.when(F.col("kind") == "text", clean_text(F.col("text"))).otherwise(F.col("text")))
-    return cleaned.where("error is not null or text <> ''")
+    return cleaned.where("error is not null or text <> '' or kind = 'scan'")

@@ -4,6 +4,7 @@ import os
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from loomdex.config import Settings
@@ -258,3 +259,77 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*at, "ask", "battery module", "--threshold", "0.1"]) == 0
     assert "a.md" in capsys.readouterr().out
     assert main([*at, "quality"]) in (0, 1) and main([*at, "purge", "--yes"]) == 0
+
+
+def _pdf(pages, compress):
+    """A small PDF: pages are lists of (x, y, size, font, text)."""
+    import zlib
+
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b""]
+    kids = []
+    for page in pages:
+        body = "".join(f"BT /{f} {s} Tf {x} {y} Td ({t}) Tj ET\n" for x, y, s, f, t in page).encode("cp1252")
+        data = zlib.compress(body) if compress else body
+        objects.append(b"<< /Length %d %s>>\nstream\n%s\nendstream" % (len(data), b"/Filter /FlateDecode " if compress else b"", data))
+        objects.append(b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % len(objects))
+        kids.append(len(objects))
+    fonts = b"/F1 << /Type /Font /BaseFont /Helvetica >> /F2 << /Type /Font /BaseFont /Courier >>"
+    objects[1] = b"<< /Type /Pages /Count %d /Kids [%s] /MediaBox [0 0 600 800] /Resources << /Font << %s >> >> >>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids), fonts)
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>\n"
+
+
+@pytest.mark.parametrize("compress", [False, True])
+def test_pdf(compress):
+    from loomdex.sources import pdf
+
+    raw = _pdf([[(50, 700, 20, "F1", "Caf\\351 \\(one\\)"), (50, 660, 10, "F1", "First line"), (50, 648, 10, "F1", "second line"), (50, 600, 10, "F2", "svc_run --all")], [(50, 700, 10, "F1", "Contents"), (50, 680, 10, "F1", "A ..... 3")], [(50, 700, 10, "F1", "On page three")]], compress)
+    assert pdf.page_count(raw) == 3 and pdf.page_count(b"no") == 0 and pdf.page_count(b"%PDF-1.4 broken") == 0
+    assert pdf.pdf_segments(raw) == [
+        (1, 1, "Café (one)", "Café (one)", "heading", 1),
+        (1, 1, "Café (one)", "First line\nsecond line", "text", 0),
+        (1, 1, "Café (one)", "svc_run --all", "code", 0),
+        (3, 3, "Café (one)", "On page three", "text", 0),
+    ]
+    with pytest.raises(ValueError, match="encrypted"):
+        pdf.Document(b"%PDF-1.4\n1 0 obj\n<< /Encrypt 5 0 R >>\nendobj")
+
+
+def test_recognition(spark):
+    from loomdex.operators import recognition
+
+    @recognition.engine("fake")
+    def fake():
+        return lambda image: [(5.0, 1.0, "b", None), (1.0, 2.0, image.decode(), 0.9), (1.0, 30.0, "low", 0.1)]
+
+    images = spark.createDataFrame([("d", 1, b"a"), ("d", 2, b"\xff")], "doc string, page int, image binary")
+    got = {r["page"]: r for r in recognition.recognised(images, "fake").collect()}
+    assert got[1]["lines"] == ["a b"] and got[1]["error"] is None
+    assert got[2]["lines"] == [] and got[2]["error"].startswith("UnicodeDecodeError")
+    with pytest.raises(ValueError, match="unknown OCR engine"):
+        recognition.recognised(images, "none")
+
+
+def test_no_text_is_lost():
+    from loomdex.operators import chunking
+
+    long = "x" * 5000 + "数" * 700
+    for size in (24, 128):
+        pieces = chunking.cut_run(long, size)
+        assert "".join(pieces) == long and all(chunking.tokens(p) <= size for p in pieces)
+        assert "".join(chunking.split_table(long + "\nb", size)) == long + "\nb"
+    assert "".join(chunking._cut_words("a " + long, 24)).replace(" ", "").endswith("数" * 20)
+
+
+def test_parsed_text_is_cleaned(spark):
+    rows = [("a.md", "md", b"# T\n\nBody one.\nPage 3 of 9\nAll rights reserved\n"), ("b.txt", "txt", b"12\n"), ("c.html", "html", "<p>x\u00a0y</p><p>draft</p>".encode())]
+    df = spark.createDataFrame([(p, e, bytearray(c)) for p, e, c in rows], "file_path string, ext string, content binary")
+    got = {(r["doc"], r["kind"]): r["text"] for r in files.parse(df).collect()}
+    assert got == {("a.md", "heading"): "T", ("a.md", "text"): "Body one.", ("c.html", "text"): "x y"}
+
+
+def test_sentences_agree(spark):
+    from loomdex.operators import chunking
+
+    texts = ["One. Two e.g. three. A. B. Then 3. Next! Why? 好。 对！ Fig. 4 shows.", "", "no end", "X vs. y. Z etc. 12. 13. Done."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", chunking.sentences_column(F.col("t")).alias("s"))
+    assert {r["i"]: r["s"] for r in df.collect()} == {i: chunking.sentences(t) for i, t in enumerate(texts)}
