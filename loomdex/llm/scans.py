@@ -30,6 +30,8 @@ CONFUSIONS = {
     "li": ("h",), "m": ("rn",), "d": ("cl",),
 }
 CHEAP = 0.3
+#: So many titles are sent to all tasks; more are joined by shuffle.
+SMALL = 200_000
 
 # A letter that is read as two is folded to the two, so that confusions which overlap (clianges, clisk) fold alike in any order.
 _folded_letters = {"h": "ll", "u": "ll", "w": "vv", "m": "rn", "d": "cl", "i": "l"}
@@ -319,5 +321,7 @@ def scanned_records(chunks: DataFrame, segments: DataFrame) -> DataFrame:
     )
     b = segments.select(F.lit("segments").alias("tab"), F.concat("doc", F.lit("#"), "seg_no").alias("rec_key"), "text", "doc", "kind", F.lit(None).cast("string").alias("title"))
     known, open_ = a.where("title is not null"), a.where("title is null").unionByName(b)  # only texts without a title of their own are shuffled
+    titles = titles.where("t is not null")
+    titles = F.broadcast(titles) if titles.count() <= SMALL else titles  # one file may hold a tenth of all texts
     found = open_.join(titles, "doc", "left").select("tab", "rec_key", "text", "doc", "kind", F.col("t").alias("title"))
     return known.unionByName(found)
