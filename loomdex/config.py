@@ -21,18 +21,25 @@ NOISE_PATTERNS = (
 
 # Words that carry no content in a Chinese question.
 STOPWORDS = (
-    "的 了 和 是 在 我 你 他 它 有 与 及 或 等 就 都 而 该 其 对 为 被 把 吗 呢 啊 怎么 如何 什么 哪些 哪个 为什么 多少 一个 一下 这个 "
-    "那个 我们 你们 他们 这里 那里 还 要 会 能 可以 请 用 给 让 不 没 很 也 又 再 才 只 最"
-).split()
+    "的", "了", "和", "是", "在", "我", "你", "他", "它", "有", "与", "及", "或", "等", "就", "都", "而", "该", "其", "对", "为", "被", "把", "吗", "呢", "啊", "怎么", "如何",
+    "什么", "哪些", "哪个", "为什么", "多少", "一个", "一下", "这个", "那个", "我们", "你们", "他们", "这里", "那里", "还", "要", "会", "能", "可以", "请", "用", "给", "让", "不", "没", "很",
+    "也", "又", "再", "才", "只", "最",
+)
 
 # Phrases that appeal to knowledge outside the context.
-INFERENCE_PHRASES = "据我所知 根据我的了解 根据我的知识 根据我的经验 我推测 我猜 我估计 我印象中 我记得 一般来说 通常情况 理论上 普遍认为".split()
+INFERENCE_PHRASES = (
+    "据我所知", "根据我的了解", "根据我的知识", "根据我的经验", "我推测", "我猜", "我估计", "我印象中", "我记得", "一般来说", "通常情况", "理论上", "普遍认为",
+)
 
 # Dotted abbreviations that aren't identifiers.
-ABBREVIATIONS = "e.g i.e etc vs fig no approx inc ltd al u.s.a u.s a.m p.m mr ms dr st jr sr".split()
+ABBREVIATIONS = (
+    "e.g", "i.e", "etc", "vs", "fig", "no", "approx", "inc", "ltd", "al", "u.s.a", "u.s", "a.m", "p.m", "mr", "ms", "dr", "st", "jr", "sr",
+)
 
 # Words before a full stop that don't end a sentence.
-SENTENCE_ABBREVIATIONS = "e.g i.e fig no vs etc al mr dr st inc ltd sec eq ref approx".split()
+SENTENCE_ABBREVIATIONS = (
+    "e.g", "i.e", "fig", "no", "vs", "etc", "al", "mr", "dr", "st", "inc", "ltd", "sec", "eq", "ref", "approx",
+)
 
 # Terms of the domain and their translations, in the order of lookup.
 TERMS = {

@@ -37,12 +37,12 @@ def switches(settings: Settings = DEFAULT) -> dict[str, Settings]:
     }
 
 
-def evaluate(cases: DataFrame, corpus: Corpus, runs: dict[str, Settings], with_baseline: bool = True, provider: str = "hash", pseudo: DataFrame | None = None) -> DataFrame:
+def evaluate(cases: DataFrame, corpus: Corpus, runs: dict[str, Settings], with_baseline: bool = True, provider: str = "hash", pseudo: DataFrame | None = None, base: Settings = DEFAULT) -> DataFrame:
     """(tag, category, difficulty, level, n, hit1, hit3, hit10) of cases (id, question, category, difficulty, ground_truth_file) for each run."""
     questions = cases.select(F.col("id").alias("query_id"), F.col("question").alias("text"))
     hits = {tag: retrieve(questions, corpus, s, provider, pseudo)[0] for tag, s in runs.items()}
     if with_baseline:
-        hits["baseline"] = baseline(questions, corpus, next(iter(runs.values()), DEFAULT), provider)
+        hits["baseline"] = baseline(questions, corpus, next(iter(runs.values()), base), provider)
     out = None
     for tag, h in hits.items():
         rates = evaluation.hit_rates(evaluation.hit_flags(cases, h.select("query_id", "rank", "file_name"))).withColumn("tag", F.lit(tag))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,13 +55,14 @@ def numbered_events(index: Index, listed: DataFrame) -> DataFrame:
     return cut(same.unionByName(made))
 
 
-def run(index: Index, roots: list[str], settings: Settings = DEFAULT, provider: str = "hash", dim: int = 64, force: bool = False, limit: int | None = None) -> dict[str, int]:
+def run(index: Index, roots: list[str], settings: Settings = DEFAULT, provider: str = "hash", dim: int = 64, force: bool = False, limit: int | None = None, tell: Callable[[str], None] | None = None) -> dict[str, int]:
     """Index what is new or changed, retry what failed, remove what vanished. The counts of each.
 
     Every change of a file has a number; the log holds the intervals of those that are indexed, and a run works on the gaps. Removals come from the whole scan, whatever
     ``limit`` says; files over the allowed size are counted as too_large and keep what is indexed of them. The tables are replaced first, then the manifest, the log last: a run
     that dies between is done again by the next, which replaces the same files' rows. A file that can't be parsed keeps its old chunks, is noted with its
     error in the manifest and the error log, and stays a gap."""
+    tell = tell or (lambda said: None)
     every = cut(source.scan(index.spark, roots, settings, any_size=True).select("file_path", "size", "mtime", "ext"))
     listed = cut(source.hashed(source.scan(index.spark, roots, settings)).select("file_path", "file_hash", "size", "mtime", "ext"))
     events = numbered_events(index, listed.select("file_path", "file_hash"))
@@ -68,6 +70,7 @@ def run(index: Index, roots: list[str], settings: Settings = DEFAULT, provider:
     if limit is not None:
         wanted = wanted.orderBy("file_path").limit(limit)
     wanted = cut(wanted)
+    tell(f"{every.count()} files, {wanted.count()} to index")
     work = listed.join(wanted, "file_path", "left_semi")
     parsed = cut(source.parse(source.contents(index.spark, roots, wanted, settings)))
     failed = parsed.where("error is not null").select(F.col("doc").alias("file_path"), F.substring("error", 1, 500).alias("error_msg"))
@@ -83,6 +86,7 @@ def run(index: Index, roots: list[str], settings: Settings = DEFAULT, provider:
     rows = store.marked_done(done.join(counts, "file_path", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0))), now).unionByName(store.marked_error(failed.join(hashes.withColumnRenamed("h", "file_hash"), "file_path"), now))
     rows = cut(rows)
     known = before.where("status = 'done'").select("file_path")
+    tell(f"{rows.count()} parsed and split, {gone.count()} vanished")
     report = {
         "new": rows.where("status = 'done'").join(known, "file_path", "left_anti").count(),
         "updated": rows.where("status = 'done'").join(known, "file_path", "left_semi").count(),
