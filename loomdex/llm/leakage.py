@@ -125,9 +125,13 @@ class Index:
         return max(self.similarity(h[x : x + n], item) for x in range(max(0, at - span), max(1, min(at + span, len(h) - n) + 1)))
 
 
-def _sums(h: np.ndarray) -> np.ndarray:
+def _sums(h: np.ndarray, longest: int) -> np.ndarray:
+    """Running sums of the words' bits; they may wrap around, as only differences over at most ``longest`` words are taken."""
+    kind = np.uint16 if longest < 30_000 else np.uint32
     bits = np.unpackbits(mix(h).view(np.uint8).reshape(-1, 8), axis=1)
-    return np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+    out = np.zeros((len(h) + 1, 64), kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=out[1:])
+    return out
 
 
 def _prints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -136,16 +140,17 @@ def _prints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
 
 def _scan(index: Index, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longest = max(n for n, _, _ in index.whole)
         for batch in batches:
             out: list[tuple] = []
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 64):  # whose sums stay in a core's cache
+                part = batch.slice(at, 64)
                 ids, found = part.column(0).to_pylist(), [words(t or "") for t in part.column(1).to_pylist()]
                 lengths = np.array([len(f) for f in found])
                 ends = np.cumsum(lengths)
                 every = [w for f in found for w in f]
                 h = word_hashes(every)
-                sums = _sums(h)
+                sums = _sums(h, longest)
                 doc = np.repeat(np.arange(len(found)), lengths)
                 place = np.arange(len(h)) - np.repeat(ends - lengths, lengths)
                 hits: dict[tuple, list] = {}
