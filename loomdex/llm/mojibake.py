@@ -2,13 +2,13 @@
 
 A repair is a chain of up to three steps (wrong, true): encode with the codec that was used by mistake, decode with the one that should have been.
 Every line that has a character outside ASCII is rewritten by every chain that applies to it, and each version is compressed with
-zstandard dictionaries, one for each language, trained on a bounded sample of the corpus. The description length of a version is its least
+zstandard dictionaries, one for each language, trained on all texts of its label. The description length of a version is its least
 compressed size plus the cost of its chain; the shortest wins, and the line stays as it is unless a chain saves ``least_gain`` bytes. The chain that
 saves most over a document is tried first on each of its lines. U+FFFD marks bytes that a decoder has already thrown away: such a line is
 always reported, and restored as far as its bytes are left.
 
 Defined cases: null, empty and pure ASCII texts are never garbled; a line of sound but unusual characters stays, because no chain shortens it; repeated
-rows are judged each; without a sample no dictionary exists and only U+FFFD is reported; an empty table gives an empty result.
+rows are judged each; without labelled texts no dictionary exists and only U+FFFD is reported; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 import codecs
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -305,39 +305,141 @@ def repair(text: str, lengths: Lengths, least_gain: int = 1) -> tuple[str, list[
 
 def _misread(line: str, common: set[str]) -> bool:
     """Whether the line reads as UTF-8 by some codec, and then has common characters only."""
-    if line.isascii():
+    if "�" in line:
+        return True
+    if line.isascii() or _LEADS.isdisjoint(line):
         return False
-    made = [(w, apply_step(line, (w, "utf-8"))) for w in SINGLE]
-    return "�" in line or any(v is not None and (w == "cp1252" or set(v) - set(line) <= common) for w, v in made)
+    runs = " ".join(_SIDE_BY_SIDE.findall(line))
+    made = ((w, apply_step(line, (w, "utf-8"))) for w in SINGLE if _SEQUENCE[w].search(runs))
+    return any(v is not None and (w == "cp1252" or set(v) - set(line) <= common) for w, v in made)
 
 
-def train(documents: DataFrame, per_language: int = 1500, size: int = 64_000) -> Lengths:
-    """Dictionaries from the lines of at most ``per_language`` texts for each label, those with the least hashes. Lines with a
-    character that fewer than four in a thousand texts of the label have, or with misread UTF-8, are left out."""
-    labelled = documents.where("text is not null").select(F.xxhash64("doc_id").alias("h"), "text", folded_label(F.col("lang")).alias("code")).where("code is not null")
-    counts = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return Lengths({}, {})
-    share = F.create_map(*[F.lit(x) for code, n in counts.items() for x in (code, int(min(1.0, 2 * per_language / n) * 2**62))])
-    drawn = labelled.where(F.shiftrightunsigned("h", 2) <= F.element_at(share, F.col("code")))
-    sample = drawn.groupBy("code").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "text"))), 1, per_language).alias("texts")).collect()
-    out, alphabets, weights = {}, {}, {}
-    for r in sorted(sample, key=lambda r: r["code"]):
-        texts = [t["text"] for t in r["texts"]]
-        df = Counter(c for t in texts for c in set(t) if ord(c) > 127 and not "㐀" <= c <= "鿿")
-        rare = {c for c, n in df.items() if n < max(2, 0.004 * len(texts))}
-        common = {c for c, n in df.items() if n >= 0.03 * len(texts)}
-        clean = [x for t in texts for x in t.split("\n") if len(x) >= 8 and not rare & set(x) and not _misread(x, common)]
-        lines = [x.encode() for x in clean]
-        every = Counter(c for t in texts for c in {v for x in set(t) if x > "\x7f" for v in (x, x.lower(), x.upper()) if len(v) == 1})
-        weights[r["code"]] = {c: max(RAREST, math.log(n / len(texts))) for c, n in every.items()}
-        seen = Counter(c for x in clean for c in set(x) if c > "\x7f")
-        alphabets[r["code"]] = {v for c, n in seen.items() if n > 1 for v in (c, c.upper(), c.lower()) if len(v) == 1}
+#: Bytes of texts that one task trains a dictionary on, how many dictionaries one task merges, and how many times smaller than its part a dictionary to merge is.
+PART, FAN, FOLD = 64 << 20, 16, 16
+#: Bytes of a sample at most: the trainer counts nothing beyond 128 KB of one. A merged dictionary has no lines and is cut into pieces like them.
+SAMPLE, PIECE = 1 << 16, 256
+#: A character is known where more lines than one for so many texts have it.
+TEXTS_A_LINE = 1500
+#: The repeat offsets that end the header of a trained dictionary.
+_REPEATS = b"\1\0\0\0\4\0\0\0\10\0\0\0"
+_FITTED = "code string, part long, dictionary binary, final boolean, chars array<string>, counts array<long>"
+
+
+def _pieces(lines: list[bytes], size: int) -> list[bytes]:
+    return [x if len(x) <= size else x[i : i + size] for x in lines for i in range(0, len(x), size)]
+
+
+def _dictionary(lines: list[bytes], size: int) -> bytes:
+    """A dictionary from all the lines, none of which is kept for tests alone."""
+    for piece in (SAMPLE, PIECE):
         try:
-            out[r["code"]] = zstandard.train_dictionary(size, lines).as_bytes()
+            return zstandard.train_dictionary(size, _pieces(lines, piece), split_point=1.0).as_bytes()
         except zstandard.ZstdError:  # too few lines
-            if lines:
-                out[r["code"]] = b"\n".join(lines)[-size:]
+            whole = b"\n".join(lines)
+            if len(whole) <= size:
+                return whole
+    return whole[-size:]
+
+
+def _content(dictionary: bytes) -> bytes:
+    """What a dictionary holds beside its header, if it has one."""
+    return dictionary[dictionary.index(_REPEATS) + len(_REPEATS) :] if dictionary.startswith(b"\x37\xa4\x30\xec") else dictionary
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, kind, c, n): the texts and their bytes, the texts that have a character, and those that have only its other case."""
+    n: defaultdict[tuple[str, str], Counter[str]] = defaultdict(Counter)
+    for batch in batches:
+        for t, code in zip(batch.column("text").to_pylist(), batch.column("code").to_pylist(), strict=True):
+            n[code, "texts"][""] += 1
+            n[code, "bytes"][""] += len(t.encode())
+            if not t.isascii():
+                own = {c for c in set(t) if c > "\x7f"}
+                n[code, "own"].update(own)
+                n[code, "case"].update({v for x in own if x.lower() != x.upper() for v in (x.lower(), x.upper()) if len(v) == 1} - own)
+    rows = [(*key, c, k) for key, counts in n.items() for c, k in counts.items()]
+    keys = list(zip(*rows, strict=True)) or [[]] * 4
+    yield pa.record_batch([*(pa.array(k, pa.string()) for k in keys[:3]), pa.array(keys[3], pa.int64())], names=["code", "kind", "c", "n"])
+
+
+def _lines_of(rare: dict[str, set[str]], common: dict[str, set[str]], parts: dict[str, int]):
+    """(code, part, h, lines): the lines of each text that may be learned, dealt out to the parts of its label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for h, t, code in zip(*(batch.column(x).to_pylist() for x in ("h", "text", "code")), strict=True):
+                clean = [x for x in t.split("\n") if len(x) >= 8 and (x.isascii() or rare[code].isdisjoint(x) and not _misread(x, common[code]))]
+                k = parts[code]
+                rows += [(code, (h + i) % k, h, "\n".join(clean[i::k])) for i in range(min(k, len(clean)))]
+            c = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.record_batch([pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string())], names=["code", "part", "h", "lines"])
+
+    return run
+
+
+def _fitted(code: str, part: int, dictionary: bytes, final: bool, seen: Counter[str]) -> pa.Table:
+    types = {"code": pa.string(), "part": pa.int64(), "dictionary": pa.binary(), "final": pa.bool_(), "chars": pa.list_(pa.string()), "counts": pa.list_(pa.int64())}
+    row = (code, part, dictionary, final, list(seen), list(seen.values()))
+    return pa.table([pa.array([v], t) for v, t in zip(row, types.values(), strict=True)], names=list(types))
+
+
+def _fit(parts: dict[str, int], size: int, part_bytes: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        code, part = (k.as_py() for k in key)
+        rows = sorted(zip(table.column("h").to_pylist(), table.column("lines").to_pylist(), strict=True))
+        lines = [x for _, t in rows for x in t.split("\n")]
+        seen = Counter(c for x in lines if not x.isascii() for c in set(x) if c > "\x7f")
+        final = parts[code] == 1
+        return _fitted(code, part, _dictionary([x.encode() for x in lines], size if final else max(size, part_bytes // FOLD)), final, seen)
+
+    return run
+
+
+def _merge(left: dict[str, int], size: int, part_bytes: int):
+    """One dictionary for each group of them; that of a label with a single group is final."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        code, part = key[0].as_py(), key[1].as_py()
+        rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+        seen: Counter[str] = Counter()
+        for r in rows:
+            seen.update(dict(zip(r["chars"], r["counts"], strict=True)))
+        if rows[0]["final"]:
+            return _fitted(code, part, rows[0]["dictionary"], True, seen)
+        final = left[code] == 1
+        return _fitted(code, part, _dictionary(_pieces([_content(r["dictionary"]) for r in rows], PIECE), size if final else max(size, part_bytes // FOLD)), final, seen)
+
+    return run
+
+
+def train(documents: DataFrame, size: int = 64_000, part_bytes: int = PART) -> Lengths:
+    """Dictionaries, alphabets and shares of characters from the texts of each label, all of them. Lines with a character that fewer than four in a thousand
+    texts of the label have, or with misread UTF-8, are left out. A label of more than ``part_bytes`` is dealt out to parts by hash; each trains a dictionary on all its
+    lines, and the dictionaries are trained on in turn, FAN at a time, until one is left."""
+    labelled = documents.where("text is not null").select(F.xxhash64("doc_id").alias("h"), "text", folded_label(F.col("lang")).alias("code")).where("code is not null")
+    tally = labelled.select("text", "code").mapInArrow(_tally, "code string, kind string, c string, n long").groupBy("code", "kind", "c").agg(F.sum("n").alias("n")).collect()
+    n: dict[str, dict[str, Counter[str]]] = {r["code"]: {"texts": Counter(), "bytes": Counter(), "own": Counter(), "case": Counter()} for r in tally}
+    for r in sorted(tally, key=lambda r: r["c"]):
+        n[r["code"]][r["kind"]][r["c"]] = r["n"]
+    if not n:
+        return Lengths({}, {})
+    texts = {x: v["texts"][""] for x, v in n.items()}
+    df = {x: {c: k for c, k in v["own"].items() if not "㐀" <= c <= "鿿"} for x, v in n.items()}
+    rare = {x: {c for c, k in v.items() if k < max(2, 0.004 * texts[x])} for x, v in df.items()}
+    common = {x: {c for c, k in v.items() if k >= 0.03 * texts[x]} for x, v in df.items()}
+    parts = {x: max(1, math.ceil(v["bytes"][""] / part_bytes)) for x, v in n.items()}
+    lines = labelled.mapInArrow(_lines_of(rare, common, parts), "code string, part long, h long, lines string")
+    fitted, left = lines.groupBy("code", "part").applyInArrow(_fit(parts, size, part_bytes), _FITTED), parts
+    while max(left.values()) > 1:
+        left = {x: math.ceil(k / FAN) for x, k in left.items()}
+        fitted = fitted.groupBy("code", F.floor(F.col("part") / FAN).alias("group")).applyInArrow(_merge(left, size, part_bytes), _FITTED)
+    out, alphabets = {}, dict.fromkeys(sorted(n), frozenset())
+    for r in sorted(fitted.collect(), key=lambda r: r["code"]):
+        out[r["code"]] = bytes(r["dictionary"])
+        known = [c for c, k in zip(r["chars"], r["counts"], strict=True) if k > max(1, texts[r["code"]] / TEXTS_A_LINE)]
+        alphabets[r["code"]] = {v for c in known for v in (c, c.upper(), c.lower()) if len(v) == 1}
+    weights = {x: {c: max(RAREST, math.log(k / texts[x])) for c, k in (v["own"] + v["case"]).items()} for x, v in sorted(n.items())}
     return Lengths(out, alphabets, weights)
 
 

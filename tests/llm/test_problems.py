@@ -1,5 +1,6 @@
 """Each operator against brute force, exact round trips or held-out accuracy."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -368,3 +369,37 @@ def test_garbled_text_is_restored(spark):
     assert mojibake.repair("lost \ufffd byte", lengths)[2]
     part = rows[0][1] + "\n" + wrong["utf8 as cp1252"](base[0])
     assert mojibake.repair(part, lengths)[0] == rows[0][1] + "\n" + base[0]
+
+
+def test_garbled_text_is_judged_by_all_texts(spark):
+    rng = random.Random(13)
+    n = 2000  # more than any sample
+    rows = [(i, f"Der Knoten prüft {sentence(rng)} täglich." + (" Größe " if i % 5 == 0 else "") + ("ŵ" if i == 7 else ""), "de") for i in range(n)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    lengths = mojibake.train(documents)
+    share = {c: sum(c in t for _, t, _ in rows) / n for c in "üäöß"}
+    assert share["ß"] == 0.2 and all(lengths.weights["de"][c] == pytest.approx(math.log(k)) for c, k in share.items())
+    assert lengths.weights["de"]["ŵ"] == pytest.approx(math.log(1 / n)) and "ŵ" not in lengths.alphabet
+    again = mojibake.train(documents.repartition(7))
+    assert again.dictionaries == lengths.dictionaries and again.weights == lengths.weights and again.alphabet == lengths.alphabet
+
+
+def test_dictionaries_of_parts_are_merged(spark):
+    rng = random.Random(14)
+    base = ["Don’t remove the café cover — it’s 20 °C “here”.", "Die Prüfsumme der größten Gruppe fällt, während der Knoten läuft."]
+    rows = [(i, "\n".join(f"{base[i % 2]} {sentence(rng)}" for _ in range(3)), ["en", "de"][i % 2]) for i in range(1200)]
+    rows += [(i, f"L’accès à la rangée {i} est fermé.", "fr") for i in range(1200, 1230)]  # a single part
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    size = {x: sum(len(t.encode()) for _, t, code in rows if code == x) for x in ("en", "de", "fr")}
+    assert min(size["en"], size["de"]) > 20 * 6000 > 20 * size["fr"]  # two rounds of merging
+    whole, merged = mojibake.train(documents, 4000), mojibake.train(documents, 4000, 6000)
+    assert set(merged.dictionaries) == {"en", "de", "fr"} and merged.dictionaries["fr"] == whole.dictionaries["fr"]
+    assert max(map(len, merged.dictionaries.values())) <= 4000
+    assert merged.alphabet == whole.alphabet and merged.weights == whole.weights
+    for i in (0, 1, 1200):
+        garbled = "".join(chr(b) if (c := bytes([b]).decode("cp1252", "replace")) == "�" else c for b in rows[i][1].encode())
+        assert mojibake.repair(garbled, merged)[0] == rows[i][1]
+        assert mojibake.repair(rows[i][1], merged) == (rows[i][1], [], False)
+    content = b"".join(mojibake._pieces([t.encode() for _, t, _ in rows[:400]], 50))
+    trained = mojibake._dictionary(mojibake._pieces([content], 200), 8000)
+    assert mojibake._content(trained)[-200:] == trained[-200:] and b"\1\0\0\0\4\0\0\0" not in mojibake._content(trained) and len(trained) - len(mojibake._content(trained)) < 300
